@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes that Catalyst expects ``df`` to read (the size of its files); no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs, which it does once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
