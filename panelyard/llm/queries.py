@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from panelyard.llm import chat, warc
+from panelyard.llm import chat, decontaminate, simhash, warc
 
 
 def queries() -> dict:
-    found = [chat.op1_chat_format, warc.op9_warc]
+    found = [chat.op1_chat_format, simhash.op3_simhash, decontaminate.op5_decontamination, warc.op9_warc]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op5_decontamination": decontaminate.OP5_SQL, "op9_warc": warc.OP9_SQL}
