@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from panelyard.llm import chat, decontaminate, simhash, warc
+from panelyard.llm import bpe, chat, decontaminate, simhash, warc
 
 
 def queries() -> dict:
-    found = [chat.op1_chat_format, simhash.op3_simhash, decontaminate.op5_decontamination, warc.op9_warc]
+    found = [chat.op1_chat_format, bpe.op2_bpe, simhash.op3_simhash, decontaminate.op5_decontamination, warc.op9_warc]
     return {f.__name__: f for f in found}
 
 
