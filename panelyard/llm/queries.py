@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from panelyard.llm import bpe, chat, decontaminate, lm, simhash, warc
+from panelyard.llm import bpe, chat, decontaminate, langid, lm, simhash, warc
 
 
 def queries() -> dict:
-    found = [chat.op1_chat_format, bpe.op2_bpe, simhash.op3_simhash, lm.op4_lm_score, decontaminate.op5_decontamination, warc.op9_warc]
+    found = [chat.op1_chat_format, bpe.op2_bpe, simhash.op3_simhash, lm.op4_lm_score, decontaminate.op5_decontamination, warc.op9_warc, langid.op10_language_id]
     return {f.__name__: f for f in found}
 
 
