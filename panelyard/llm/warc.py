@@ -1,7 +1,7 @@
 """Content-addressed WARC archive.
 
 A page becomes one WARC record. The archive keeps two tables: ``payloads`` holds the bytes of each distinct payload
-once, under its SHA-256; ``records`` holds the exact header bytes of every record and the digest that leads to its
+once, zstd-compressed, under its SHA-256; ``records`` holds the exact header bytes of every record and the digest that leads to its
 payload. The original record is their join. Digests are computed again when an archive is read, and a payload that no
 longer has its digest stops the read.
 
@@ -13,10 +13,15 @@ archive; further columns of the input are ignored.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.session import shared_path
+from panelyard.session import release, shared_path
 
 #: Fixed values of the format: RFC 4648 digits against those of base 32 numbers, and the revisit profile.
 BASE32_FROM, BASE32_TO = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -75,37 +80,41 @@ def write_archive(
         "is_response", F.col("page_id").eqNullSafe(F.col("owner")) | (F.col("n_bytes") < min_revisit_bytes)
     )
     known.select("page_id", "digest", "is_response", F.encode(_headers(), "UTF-8").alias("headers")).write.parquet(f"{path}/records")
-    # Of a payload only the owner's row is moved; equal rows of one owner end as one.
-    kept = rows.select("page_id", "digest", "payload").join(
-        owners.select("digest", F.col("owner").alias("page_id")), ["digest", "page_id"], "left_semi"
-    )
-    orphans = rows.where(F.col("page_id").isNull()).select("page_id", "digest", "payload").join(
-        owners.where(F.col("owner").isNull()), "digest", "left_semi"
-    )
-    stored = kept.unionByName(orphans).select("digest", "payload")
-    again = stored.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    once = stored.join(again, "digest", "left_anti")
-    several = stored.join(again, "digest", "left_semi").dropDuplicates(["digest"])
-    once.unionByName(several).write.parquet(f"{path}/payloads")
+    # Of a payload only the owner's row is moved, compressed; the key that deals it out also drops equal rows of one owner.
+    key = lambda digest, page: F.concat(F.col(digest), F.lit(":"), F.coalesce(F.col(page).cast("string"), F.lit("")))
+    packed = rows.select("page_id", "payload", "digest").mapInArrow(_pack, f"page_id {rows.schema['page_id'].dataType.simpleString()}, payload binary, digest string")
+    kept = packed.select("digest", "payload", key("digest", "page_id").alias("key")).join(owners.select(key("digest", "owner").alias("key")), "key", "left_semi")
+    kept.dropDuplicates(["key"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    release(pages.sparkSession)
     return path
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """The payload table; a payload that doesn't have its digest raises."""
-    verified = F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
-        F.raise_error(F.concat(F.lit("payload differs from its digest "), F.col("digest"))).cast("binary")
-    )
-    return spark.read.parquet(f"{path}/payloads").select("digest", verified.alias("payload"))
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        payload = pa.array([press.compress(x.as_buffer()) for x in batch.column("payload")], pa.binary())
+        yield pa.record_batch([batch.column("page_id"), payload, batch.column("digest")], names=["page_id", "payload", "digest"])
+
+
+def _join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole records from headers and compressed payloads, whose digests are verified."""
+    open_ = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for row in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):  # bounds what is open at once
+            records = []
+            for digest, headers, payload in zip(*(row.column(x).to_pylist() for x in ("digest", "headers", "payload"))):
+                payload = open_.decompress(payload)
+                if hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"payload differs from its digest {digest}")
+                records.append(headers + payload + END.encode())
+            yield pa.record_batch([row.column("digest"), pa.array([True] * len(records)), pa.array(records, pa.binary())], names=["digest", "is_response", "record"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The original records: (digest, is_response, record), record being the exact bytes."""
-    records = spark.read.parquet(f"{path}/records")
-    end = F.lit(END).cast("binary")
-    responses = records.where("is_response").join(read_payloads(spark, path), "digest")
-    return responses.select("digest", "is_response", F.concat("headers", "payload", end).alias("record")).unionByName(
-        records.where("not is_response").select("digest", "is_response", F.concat("headers", end).alias("record"))
-    )
+    """The original records: (digest, is_response, record), record being the exact bytes. A payload that doesn't have its digest raises."""
+    records, payloads = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/payloads")
+    whole = records.where("is_response").select("digest", "headers").join(payloads, "digest").mapInArrow(_join_bytes, "digest string, is_response boolean, record binary")
+    return whole.unionByName(records.where("not is_response").select("digest", "is_response", F.concat("headers", F.lit(END).cast("binary")).alias("record")))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
