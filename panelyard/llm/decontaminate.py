@@ -135,14 +135,18 @@ def _united(runs: Column) -> Column:
     return F.aggregate(F.sort_array(runs), start, step, lambda acc: acc.n)
 
 
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most_bytes: int) -> tuple[DataFrame, int]:
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return items, max(1, math.ceil(size / most_bytes))
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, k: int = GRAM, most_bytes: int = MOST_BYTES,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of ``docs``; items are sorted as strings."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / most_bytes))
+    items, blocks = _blocks(benchmark, item_col, item_text_col, most_bytes)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if blocks == 1:
         found = _matched(rows.withColumn("digest", F.lit(None).cast("string")), [tuple(r) for r in items.collect()], window, k)
@@ -165,6 +169,30 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Colum
     return (n_hit > 0) & (share * n_hit >= n_words)
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows: in place against one block; by their ids against several, which need runs united first."""
+    items, blocks = _blocks(benchmark, "item_id", "text", most_bytes)
+    if blocks > 1:
+        found = contamination(docs, benchmark, id_col, text_col, window=window, k=k, most_bytes=most_bytes)
+        bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    shared, held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), []
+
+    def clean(column: pa.Array) -> np.ndarray:
+        if not held:
+            held.append(Benchmark(shared.value, window, k))
+        n, hits = held[0].match(column)
+        keep = np.ones(len(column), dtype=bool)
+        for i, (runs, _) in hits.items():
+            hit = np.zeros(n[i], dtype=bool)
+            for a, b in runs:
+                hit[a:b] = True
+            keep[i] = SHARE * hit.sum() < n[i]
+        return keep
+
+    return words.filtered(docs, text_col, clean)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's hits of every item of ``benchmark`` in every text of ``documents``."""
     found = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

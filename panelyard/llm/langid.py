@@ -287,6 +287,12 @@ def _label(model: Model | None, column: pa.Array) -> tuple[list[str], list[float
     return langs, scores
 
 
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose label is ``und``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return words.filtered(docs, text_col, lambda column: np.array([x != UNKNOWN for x in _label(shared.value, column)[0]], dtype=bool))
+
+
 def train(docs: DataFrame, learn: Column) -> Model | None:
     return fit(sample(docs.where(learn), F.col("lang"), [F.col("doc_id")]))
 

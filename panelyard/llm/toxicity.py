@@ -175,6 +175,12 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, schema)
 
 
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that are predicted toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.features, model.weights, model.bias))
+    return words.filtered(docs, text_col, lambda column: Model(*shared.value).scores(column) < 0.5)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's scores of every whole text of ``documents``, learned from ``labels``."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")

@@ -6,12 +6,13 @@ classes of the contracts only name ASCII characters, so they are exact on bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
 
 PIECE = 1 << 20
 LONG_WORD = 4096
@@ -47,6 +48,17 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE) -> Iterator[pa.R
         at = to
 
 
+def filtered(docs: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose texts the mask holds for; decided row by row, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text):
+                yield piece.filter(pa.array(mask(piece.column(text)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def utf8(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and where each begins (and the last ends). Null is empty."""
     if isinstance(column, pa.ChunkedArray):
