@@ -32,26 +32,29 @@ from pyspark.sql import functions as F
 from panelyard.llm import words
 
 LONG = 256
-#: Words in a query, entries of a cache, bytes of text at a time.
-AT_ONCE, CACHED, PIECE = 20_000, 200_000, 1 << 22
+#: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time.
+AT_ONCE, CACHED, PIECE = 20_000, 400_000, 1 << 22
 
+#: Rows come in the order of (word, position), and a step keeps the order of what it reads, so a neighbour is the next row;
+#: the order of everything returned is verified.
 ENCODE = """
 with recursive step(round, word, pos, tok) as (
   select 0, word, pos, tok from start
   union all
-  select round + 1, word, pos, case when pos = best & 1048575 then cast(best >> 20 as integer) else tok end
-  from (
-    select round, word, pos, tok, lag(pos) over w as before,
-      min((cast(m.whole as bigint) << 20) + pos) over (partition by word) as best
-    from (select *, lead(tok) over (partition by word order by pos) as after from step) s
-    left join merges m on m.head = s.tok and m.tail = s.after
-    window w as (partition by word order by pos))
-  where best is not null and before is distinct from best & 1048575
+  (with near as (
+     select s.round, s.word, s.pos, s.tok, s.before, m.whole
+     from (select *, case when lead(word) over () = word then (cast(tok as bigint) << 20) + lead(tok) over () end as pair,
+             case when lag(word) over () = word then lag(pos) over () end as before from step) s
+     left join merges m on m.pair = s.pair),
+   least as (select word, min((cast(whole as bigint) << 20) + pos) as best from near where whole is not null group by word)
+   select round + 1, n.word, n.pos, case when n.pos = best & 1048575 then cast(best >> 20 as integer) else n.tok end
+   from near n join least l on l.word = n.word
+   where n.before is distinct from best & 1048575)
 )
-select s.word, list(s.tok order by s.pos) as ids, string_agg(v.hexed, '' order by s.pos) as decoded
-from step s join (select word, max(round) as round from step group by word) using (word, round) join vocabulary v on v.id = s.tok
-group by s.word
+select round, word, pos, tok from step
 """
+#: The same with windows that sort, should an engine not keep the order.
+SORTED = ENCODE.replace("over ()", "over (partition by word order by pos)") + " order by round, word, pos"
 DECODE = """
 select word, string_agg(v.hexed, '' order by pos) as decoded from start join vocabulary v on v.id = start.tok group by word
 """
@@ -96,90 +99,105 @@ class Codec:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
-        head, tail, whole = (np.array(x, dtype=np.int32) for x in zip(*cuts))
-        merges = pa.table({"head": head, "tail": tail, "whole": whole})
+        head, tail, whole = (np.array(x, dtype=np.int64) for x in zip(*cuts))
+        merges = pa.table({"pair": (head << 20) + tail, "whole": whole.astype(np.int32)})
         vocabulary = pa.table({"id": np.array(list(self.ranks.values()), np.int32), "hexed": [t.hex() for t in self.ranks]})
         for name, table in (("merges", merges), ("vocabulary", vocabulary)):
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
-        self.matches: dict[str, tuple[bytes, bytes]] = {}
-        self.segments: dict[str, tuple[bytes, bytes]] = {}
-
-    def _run(self, sql: str, lists: list[np.ndarray]) -> pa.Table:
-        sizes = np.array([len(x) for x in lists])
-        first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        tokens = np.concatenate(lists).astype(np.int32)
-        pos = np.arange(len(tokens)) - np.repeat(first, sizes)
-        start = pa.table({"word": np.repeat(np.arange(len(lists), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tokens})
+        # Codes of matches and of segments by their text: those used since the last turn, and those used before it.
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
+
+    def _run(self, sql: str, tokens: np.ndarray, sizes: np.ndarray) -> pa.Table:
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        start = pa.table({"word": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), "pos": pos.astype(np.int32), "tok": tokens.astype(np.int32)})
         self.db.register("start", start)
         try:
-            return self.db.execute(sql).to_arrow_table()
+            return self.db.sql(sql).to_arrow_table()
         finally:
             self.db.unregister("start")
 
-    def encode(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit numbers, decoded bytes) of each match."""
-        out: list = [None] * len(pieces)
-        known: list[tuple[int, np.ndarray]] = []
-        rows: list[int] = []
-        for i, piece in enumerate(pieces):
-            if (r := self.ranks.get(piece)) is not None:
-                known.append((i, np.array([r])))
-            elif len(piece) > LONG:
-                known.append((i, np.array(contract(piece, self.ranks))))
+    def _contracted(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all pieces at their fixpoints, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tokens = self.byte[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        for sql in (ENCODE, SORTED):
+            got = self._run(sql, tokens, sizes)
+            turn, word, pos, tok = (got.column(x).to_numpy().astype(np.int64) for x in ("round", "word", "pos", "tok"))
+            if (np.diff((turn * len(pieces) + word) * (1 << 20) + pos) > 0).all():
+                break
+        last = np.zeros(len(pieces), np.int64)
+        last[word] = turn  # rounds ascend, so the last one stays
+        final = np.flatnonzero(turn == last[word])
+        final = final[np.argsort(word[final], kind="stable")]
+        return tok[final], np.bincount(word[final], minlength=len(pieces))
+
+    def _coded(self, pieces: list[bytes], tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[bytes, tuple[bytes, bytes]]]:
+        """(match, (ids, decoded bytes)) of matches whose tokens are known."""
+        got = self._run(DECODE, tokens, sizes)
+        hexed = got.column("decoded").take(pa.array(np.argsort(got.column("word").to_numpy()))).to_pylist()
+        ids, decoded, a, b = tokens.astype("<u4").tobytes(), bytes.fromhex("".join(hexed)), 0, 0
+        for piece, n, x in zip(pieces, (4 * sizes).tolist(), hexed):
+            to = b + len(x) // 2
+            yield piece, (ids[a : a + n], decoded[b:to])
+            a, b = a + n, to
+
+    def encode(self, pieces: list[bytes]) -> Iterator[tuple[bytes, tuple[bytes, bytes]]]:
+        """(match, (ids as little-endian 32-bit numbers, decoded bytes)) of each match, in any order."""
+        ranks = self.ranks
+        whole = [p for p in pieces if p in ranks]
+        long = [p for p in pieces if len(p) > LONG and p not in ranks]
+        rest = [p for p in pieces if len(p) <= LONG and p not in ranks]
+        for at in range(0, len(whole), AT_ONCE):
+            some = whole[at : at + AT_ONCE]
+            yield from self._coded(some, np.array([ranks[p] for p in some]), np.ones(len(some), np.int64))
+        for p in long:
+            tokens = np.array(contract(p, ranks))
+            yield from self._coded([p], tokens, np.array([len(tokens)]))
+        for at in range(0, len(rest), AT_ONCE):
+            some = rest[at : at + AT_ONCE]
+            yield from self._coded(some, *self._contracted(some))
+
+    def _learn(self, some: set[str]) -> None:
+        """Brings the codes of segments, each a whole number of matches, into ``young``."""
+        young, old, cut, new = self.young, self.old, {}, set()
+        for x in some.difference(young):
+            if (code := old.get(x)) is not None:
+                young[x] = code
+            elif x.isalpha() or x[1:].isalpha() and x[0] == " ":
+                new.add(x)  # letters, perhaps after a space: one match
             else:
-                rows.append(i)
-        for at in range(0, len(rows), AT_ONCE):
-            some = rows[at : at + AT_ONCE]
-            got = self._run(ENCODE, [self.byte[np.frombuffer(pieces[i], dtype=np.uint8)] for i in some])
-            ids, lists = got.column("ids").combine_chunks(), got.column("decoded").to_pylist()
-            flat, ends = ids.values.to_numpy(zero_copy_only=False).astype("<u4"), ids.offsets.to_numpy()
-            for row, (word, decoded) in enumerate(zip(got.column("word").to_pylist(), lists)):
-                out[some[word]] = (flat[ends[row] : ends[row + 1]].tobytes(), bytes.fromhex(decoded))
-        for at in range(0, len(known), AT_ONCE):
-            some_known = known[at : at + AT_ONCE]
-            got = self._run(DECODE, [x for _, x in some_known])
-            for word, decoded in zip(got.column("word").to_pylist(), got.column("decoded").to_pylist()):
-                i, ids_ = some_known[word]
-                out[i] = (ids_.astype("<u4").tobytes(), bytes.fromhex(decoded))
-        return out
-
-    def _segments(self, some: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """Codes of segments, each a whole number of matches."""
-        cut = [self.split.findall(x) for x in some]
-        new = list({p for x in cut for p in x if p not in self.matches})
-        codes = dict(zip(new, self.encode([p.encode() for p in new])))
-        get = lambda p: codes.get(p) or self.matches[p]
-        done = {}
-        for x, parts in zip(some, cut):
-            found = [get(p) for p in parts]
-            done[x] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
-        if len(self.matches) + len(codes) > CACHED:
-            self.matches = {}
-        self.matches.update(codes if len(codes) <= CACHED else {})
-        return done
+                cut[x] = self.split.findall(x)
+        for parts in cut.values():
+            for p in parts:
+                if p not in young:
+                    if (code := old.get(p)) is not None:
+                        young[p] = code
+                    else:
+                        new.add(p)
+        young.update((p.decode(), code) for p, code in self.encode([p.encode() for p in new]))
+        for x, parts in cut.items():
+            if len(parts) != 1:
+                found = [young[p] for p in parts]
+                young[x] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
 
     def texts(self, some: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of whole texts."""
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
         cut = [segments(x) for x in some]
-        new = list({s for x in cut for s in x if s not in self.segments})
-        known = self.segments
-        if len(known) + len(new) > CACHED:
-            known = {s: known[s] for x in cut for s in x if s in known}
-            self.segments = {}
-        for at in range(0, len(new), CACHED):
-            known.update(self._segments(new[at : at + CACHED]))
-        if len(known) <= CACHED:
-            self.segments = known
+        self._learn(set().union(*cut))
+        young = self.young
         for x in cut:
-            found = [known[s] for s in x]
+            found = [young[s] for s in x]
             yield b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
 #: A single space between characters that are no white space under any definition begins a match in every text.
 _SOLID = "!-~¡-ᙿ"
-_ODD = re.compile(f" (?![{_SOLID}])|(?<![{_SOLID}]) ")
+_ODD = re.compile(f" (?:(?![{_SOLID}])|(?<![{_SOLID}] ))")
 _CUT = re.compile(f"(?<=[{_SOLID}])(?= [{_SOLID}])")
 
 

@@ -1,8 +1,7 @@
 import corpus_pipeline
-from panelyard.llm import bpe, decontaminate, langid, simhash, toxicity
 from panelyard.session import shared_path
 from tests.llm.fixtures import SF, documents
-from tests.llm.test_decontaminate import brute, words_of
+from tests.llm.test_decontaminate import brute
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
