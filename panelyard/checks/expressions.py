@@ -205,7 +205,7 @@ def minute(expression: str):
 #: A larger batch, all in one plan: nested partitions, shared subtrees.
 BATCH = {
     "f1": "cs_rank ts_mean W5 close", "f2": "sub cs_rank ts_mean W5 close cs_rank ts_mean W20 close", "f3": "ts_zscore W10 div volume add close vwap", "f4": "neg ts_rank W10 cs_zscore ts_delta W5 close",
-    "f5": "mul cs_demean log volume tanh ts_std W20 close", "f6": "cs_zscore ts_delta W5 cs_rank volume",
+    "f5": "mul cs_demean log volume tanh ts_std W20 close", "f6": "cs_zscore ts_delta W5 log volume",
 }
 MINUTE_BATCH = {"g1": "r_corr ret vol", "g2": "cs_rank ts_mean W5 r_mean m_top W5 ret", "g3": "div r_std ret r_mean hl_pct", "g4": "ts_delta W5 r_last vwap_cum", "g5": "cs_zscore r_wmean ret vol", "g6": "r_skew m_when_gt ret vol"}
 
