@@ -21,8 +21,8 @@ def _plain(name: str) -> str:
     return re.sub(r"[\s_\-()./]+", "", name).lower()
 
 
-def rename(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
-    """Canonical names: by ``mapping``, else by aliases; other columns go. Raises if a required one is missing."""
+def column_mapping(df: DataFrame, mapping: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Source column of each canonical name: by ``mapping``, else by aliases. Raises if a required one is missing."""
     by_plain = {_plain(c): c for c in df.columns}
     found = {}
     for canonical, names in ALIASES.items():
@@ -35,7 +35,12 @@ def rename(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame
         found[canonical] = source
     if missing := [c for c in REQUIRED if c not in found]:
         raise ValueError(f"no columns for {missing} among {df.columns}")
-    return df.select(*[F.col(f"`{s}`").alias(c) for c, s in found.items()])
+    return found
+
+
+def rename(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` under canonical names; other columns go."""
+    return df.select(*[F.col(f"`{s}`").alias(c) for c, s in column_mapping(df, mapping).items()])
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -45,7 +50,7 @@ def typed(df: DataFrame) -> DataFrame:
         return F.when(~F.isnan(x), x).alias(c)
 
     text = {"date": F.col("date").try_cast("date").alias("date"), "code": F.trim(F.col("code").cast("string")).alias("code")}
-    return df.select(*[text.get(c) if c in text else F.col(c) if c == "industry" else number(c) for c in df.columns])
+    return df.select(*[text.get(c) if c in text else F.col(c) if c in ("industry", "_order") else number(c) for c in df.columns])
 
 
 def last_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -60,10 +65,10 @@ def clean_daily(df: DataFrame, order: Sequence[Column | str], limits: tuple[floa
     Prices are filled forward within a code, never backward; volume and amount are clipped at 0; prices are adjusted; bad rows go;
     columns are clipped to same-day quantiles and scored. Windows by code come first, then those by date: two exchanges.
     """
-    marked = df.withColumn("_order", F.struct(*order))
-    names = rename(df, mapping).columns
-    data = typed(rename(marked, mapping)) if "_order" in names else typed(rename(df, mapping))
-    return _clean(data, limits)
+    found = column_mapping(df, mapping)
+    marked = df.select(*[F.col(f"`{s}`").alias(c) for c, s in found.items()], F.struct(*order).alias("_order"))
+    keyed = typed(marked).where("date is not null and code is not null and code <> ''")
+    return _clean(last_of_key(keyed, ("date", "code"), ("_order",)).drop("_order"), limits)
 
 
 def _clean(data: DataFrame, limits: tuple[float, float]) -> DataFrame:
@@ -160,7 +165,7 @@ SESSIONS = ((565, 565), (571, 690), (781, 900))
 def session_grid(spark: SparkSession, sessions=SESSIONS) -> DataFrame:
     """minute: each minute of the sessions."""
     parts = F.flatten(F.array(*[F.sequence(F.lit(a), F.lit(b)) for a, b in sessions]))
-    return spark.range(1).select(F.explode(parts).cast("long").alias("minute"))
+    return spark.range(1).select(F.explode(parts).alias("minute")).select(F.col("minute").cast("long"))
 
 
 def densify(bars: DataFrame, grid: DataFrame, value: str) -> DataFrame:
