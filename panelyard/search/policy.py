@@ -56,7 +56,7 @@ class Policy:
             gap = self.log_z + sum(np.log(p[i]) for _, _, p, i in path) - np.log(reward)
             total += gap * gap
             step = 2 * self.rate * np.clip(gap, -20, 20) / len(paths)
-            self.log_z -= step
+            self.log_z -= 10 * step  # it must settle before the choices do
             for key, allowed, p, i in path:
                 change = -p * 1.0
                 change[i] += 1
