@@ -8,6 +8,6 @@ from functools import cache
 @cache
 def catalogue() -> dict:
     """name -> (query, sql or None)"""
-    from panelyard.checks import evaluation, expressions, index, models
+    from panelyard.checks import evaluation, expressions, index, models, relational
 
-    return expressions.all_checks() | evaluation.all_checks() | index.all_checks() | models.all_checks()
+    return expressions.all_checks() | evaluation.all_checks() | index.all_checks() | models.all_checks() | relational.all_checks()

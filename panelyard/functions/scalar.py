@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -31,15 +31,19 @@ def rounded(x: Column, digits: int = 6) -> Column:
     return F.round(x + 3.1e-8, digits) + F.lit(0.0)
 
 
-def average_rank(x: Column, whole, keys=None) -> Column:
-    """Average rank of non-null x among the non-null x of the partition ``whole`` (an unordered window)."""
-    up = F.rank().over(whole.orderBy(x.asc_nulls_last()))
-    down = F.rank().over(whole.orderBy(x.desc_nulls_last()))
-    return F.when(x.isNotNull(), (up + F.count(x).over(whole) + 1 - down) / F.lit(2.0))
+def average_rank(x: Column, whole: WindowSpec) -> Column:
+    """Average rank of non-null x among the non-null x of the partition ``whole`` (an unordered window).
 
+    Ties are the rows of an equal-value frame, so rank and ties share one window and one sort.
+    """
+    ordered = whole.orderBy(x.asc_nulls_last())
+    ties = F.count(x).over(ordered.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.when(x.isNotNull(), F.rank().over(ordered) + (ties - 1) / F.lit(2.0))
 
-def pct_rank(x: Column, whole) -> Column:
-    return average_rank(x, whole) / F.count(x).over(whole)
+
+def pct_rank(x: Column, whole: WindowSpec) -> Column:
+    n = F.count(x).over(whole.orderBy(x.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return average_rank(x, whole) / n
 
 
 def moment_corr(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:

@@ -102,3 +102,44 @@ def minute_values(panel: DataFrame, expressions: dict[str, Node]) -> DataFrame:
     out = {k: lower(t) for k, t in expressions.items()}
     base = [c for c in panel.columns if c in R.MINUTE_FEATURES]
     return _apply(panel.select("date", "code", "datetime", "seq", *base), plan).select("date", "code", "datetime", "seq", *[F.col(c).alias(k) for k, c in out.items()])
+
+
+def align(blocks: dict[str, DataFrame]) -> DataFrame:
+    """Blocks (date, code, value) of different sources side by side: a row for each key of any, and present_<block> telling an
+    absent row from a NULL one. One full outer join each, all on the same key."""
+    out = None
+    for name, block in blocks.items():
+        one = block.select("date", "code", F.col("value").alias(name), F.lit(True).alias(f"present_{name}"))
+        out = one if out is None else out.join(one, ["date", "code"], "full_outer")
+    return out.withColumns({f"present_{n}": F.coalesce(f"present_{n}", F.lit(False)) for n in blocks})
+
+
+def over_blocks(aligned: DataFrame, expression: Node | Sequence[str] | str, language) -> DataFrame:
+    """A daily expression over aligned blocks, whose names are its features: windows of a subtree run over the rows that
+    all blocks of the subtree hold, so an absent row takes no place in them while a NULL one does."""
+    tree = expression if isinstance(expression, Node) else parse(expression, language)
+
+    def value(node: Node) -> DataFrame:
+        if not node.args:
+            return aligned.where(f"present_{node.name}").select("date", "code", F.col(node.name).cast("double").alias("v"))
+        frame = None
+        names = [f"a{i}" for i in range(len(node.args))]
+        for name, a in zip(names, node.args):
+            one = value(a).withColumnRenamed("v", name)
+            frame = one if frame is None else frame.join(one, ["date", "code"])
+        plan = kernels.Steps()
+        out = kernels.build(plan, node.name, tuple(names), node.window)
+        return _apply(frame, plan).select("date", "code", F.col(out).alias("v"))
+
+    return value(tree).withColumnRenamed("v", "factor")
+
+
+def reindex(panel: DataFrame, factors: DataFrame) -> DataFrame:
+    """``factors`` on exactly the keys of ``panel``."""
+    return panel.select("date", "code").join(factors, ["date", "code"], "left")
+
+
+def union_keep_last(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("date", "code")) -> DataFrame:
+    """Rows of both; where keys meet, those of ``new``."""
+    return old.join(new.select(*keys), list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+

@@ -15,8 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from panelyard.evaluation import metrics
-from panelyard.plans.compile import daily_factors
-from panelyard.plans.nodes import DAILY, Language, Node, State, parse
+from panelyard.plans.compile import daily_factors, minute_factors
+from panelyard.plans.nodes import DAILY, MINUTE, Language, Node, State, parse
 
 
 @dataclass
@@ -110,4 +110,5 @@ def pool(policy: Policy, score: Callable, size: int, min_coverage: float = 0.5,
 
 def execute_pool(panel: DataFrame, rows: Sequence[dict], language: Language = DAILY) -> DataFrame:
     """The factor matrix of a saved pool: date, code and a column per factor, in one plan."""
-    return daily_factors(panel, {r["factor"]: parse(r["tokens"], language) for r in rows})
+    trees = {r["factor"]: parse(r["tokens"], language) for r in rows}
+    return minute_factors(panel, trees) if language is MINUTE else daily_factors(panel, trees)

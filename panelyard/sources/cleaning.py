@@ -217,3 +217,22 @@ def replace_range(old: DataFrame, new: DataFrame, start, end, column: str = "dat
     """``old`` with its rows of [start, end] replaced by those of ``new``."""
     inside = F.col(column).between(F.lit(start), F.lit(end))
     return old.where(~inside).unionByName(new.where(inside).select(*old.columns))
+
+
+def audit_schema(df: DataFrame, required: Mapping[str, Sequence[str]], kinds: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """field, status, sources: whether each required field is there (direct), can be made of the columns it names (derived), or is missing;
+    a column of another kind than ``kinds`` allows counts as missing."""
+    have = dict(df.dtypes)
+    fits = lambda c: c in have and (not (kinds or {}).get(c) or any(have[c].startswith(k) for k in kinds[c]))
+    rows = [(f, "direct", f) if fits(f) else (f, "derived", ",".join(s)) if s and all(map(fits, s)) else (f, "missing", None) for f, s in required.items()]
+    return df.sparkSession.createDataFrame(rows, "field string, status string, sources string")
+
+
+def validate_repair(old: DataFrame, new: DataFrame, start, end, keys: Sequence[str] = ("date", "code"), value: str = "value") -> DataFrame:
+    """One row: rows outside [start, end] that differ, keys that repeat or went missing, and NULLs inside."""
+    inside = F.col("date").between(F.lit(start), F.lit(end))
+    a = old.select(*keys, F.col(value).alias("_old"), F.lit(1).alias("_in_old"))
+    b = new.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(value).alias("_new"))
+    both = a.join(b, list(keys), "full_outer")
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0).cast("long"))
+    return both.agg(n(~inside & ~F.col("_old").eqNullSafe(F.col("_new"))).alias("changed_outside"), n(F.col("_n") > 1).alias("repeated"), n(F.col("_n").isNull()).alias("lost"), n(inside & F.col("_n").isNotNull() & F.col("_new").isNull()).alias("null_inside"))
