@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from panelyard.session import stored
 
 TOP, TABLES, MASS, CUTS, WIDTH, MOST_K = 20, 2, 0.95, 4, 0.8, 8
-SAMPLE, BUCKET_ROWS, SHARD_ROWS, QUERY_ROWS = 2048, 16, 4096, 20_000
+SAMPLE, BUCKET_ROWS, SHARD_ROWS, QUERY_ROWS = 2048, 16, 32_768, 4096
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -251,11 +251,11 @@ def _search(own: DataFrame, queries: DataFrame, index: Index, d: int, dtype: str
         q_all, names = _matrix(asked.column("vector"), dtype, d), asked.column("query_id").to_numpy()
         visits = [np.frombuffer(v, np.int64) for v in asked.column("cells").to_pylist()]
         out_q, out_v, out_s = [], [], []
-        for at in range(0, len(names), 512):
-            q = q_all[at : at + 512]
+        for at in range(0, len(names), 128):
+            q = q_all[at : at + 128]
             scores = np.full((len(q), len(x)), -np.inf)
-            of_query = np.repeat(np.arange(len(q)), [len(v) for v in visits[at : at + 512]])
-            visited = np.concatenate(visits[at : at + 512])
+            of_query = np.repeat(np.arange(len(q)), [len(v) for v in visits[at : at + 128]])
+            visited = np.concatenate(visits[at : at + 128])
             by = np.argsort(visited, kind="stable")
             low, high = np.searchsorted(visited[by], cells), np.searchsorted(visited[by], cells, side="right")
             for c in range(len(cells)):
