@@ -33,7 +33,7 @@ from panelyard.llm import words
 
 LONG = 256
 #: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time.
-AT_ONCE, CACHED, PIECE = 20_000, 400_000, 1 << 22
+AT_ONCE, CACHED, PIECE = 20_000, 150_000, 1 << 22
 
 #: Rows come in the order of (word, position), and a step keeps the order of what it reads, so a neighbour is the next row;
 #: the order of everything returned is verified.
@@ -96,7 +96,7 @@ class Codec:
     def __init__(self, content: bytes, pattern: str):
         self.ranks = read_ranks(content)
         self.split = regex.compile(pattern)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
         cuts = [(self.ranks[t[:i]], self.ranks[t[i:]], r) for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks]
         head, tail, whole = (np.array(x, dtype=np.int64) for x in zip(*cuts))
@@ -235,6 +235,7 @@ def _map(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, s
                 found = [row(ids, decoded) for ids, decoded in own.texts([x or "" for x in piece.column("text").to_pylist()])]
                 columns = [pa.array(x) for x in zip(*found)]
                 yield pa.record_batch([piece.column("doc_id"), *columns], names=["doc_id", *names])
+        words.give_back()
 
     names = [x.split()[0] for x in schema.split(", ")]
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")

@@ -6,6 +6,8 @@ classes of the contracts only name ASCII characters, so they are exact on bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -48,6 +50,13 @@ def pieces(batch: pa.RecordBatch, text: str, most: int = PIECE) -> Iterator[pa.R
         at = to
 
 
+def give_back() -> None:
+    """Returns memory that the allocators hold to the system: a worker outlives its tasks, and stages follow each other."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def filtered(docs: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose texts the mask holds for; decided row by row, without a shuffle."""
 
@@ -55,6 +64,7 @@ def filtered(docs: DataFrame, text: str, mask: Callable[[pa.Array], np.ndarray])
         for batch in batches:
             for piece in pieces(batch, text):
                 yield piece.filter(pa.array(mask(piece.column(text)), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
