@@ -252,6 +252,11 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     return _map(docs, path, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda ids, decoded: (len(ids) // 4, hexed(ids), hexed(decoded)))
 
 
+def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens)."""
+    return _map(docs, path, pattern, id_col, text_col, "n_tokens long", lambda ids, decoded: (len(ids) // 4,))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digests of every whole text of ``documents``."""
     import public_tokenizers

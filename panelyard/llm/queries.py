@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from panelyard.llm import ann, bpe, chat, decontaminate, langid, lm, simhash, toxicity, warc
+from panelyard.llm import ann, bpe, chat, decontaminate, langid, lengths, lm, simhash, toxicity, warc
 
 
 def queries() -> dict:
-    found = [chat.op1_chat_format, bpe.op2_bpe, simhash.op3_simhash, lm.op4_lm_score, decontaminate.op5_decontamination, ann.op7_ann, toxicity.op8_toxicity, warc.op9_warc, langid.op10_language_id]
+    found = [chat.op1_chat_format, bpe.op2_bpe, simhash.op3_simhash, lm.op4_lm_score, decontaminate.op5_decontamination, lengths.op6_token_counts, ann.op7_ann, toxicity.op8_toxicity, warc.op9_warc, langid.op10_language_id]
     return {f.__name__: f for f in found}
 
 
