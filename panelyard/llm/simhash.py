@@ -210,11 +210,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id. Rows without doc_id stay."""
-    found = stored(near_duplicates(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).withColumnRenamed("doc_id", id_col)
-    rows = docs.join(kept.where("n = 1"), id_col, "left_semi")
-    repeated = docs.join(kept.where("n > 1"), id_col, "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = stored(found.withColumnRenamed("doc_id", id_col), "kept")
+    # The ids grow with the documents, so the join is a shuffle at every size; their hash tables are small, texts aren't sorted.
+    rows = docs.join(kept.where("n = 1").hint("shuffle_hash"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    if kept.where("n > 1").isEmpty():
+        return rows
+    return rows.unionByName(docs.join(kept.where("n > 1").hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
