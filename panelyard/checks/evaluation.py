@@ -15,9 +15,9 @@ FACTORS = list(BATCH)
 
 
 def wide(spark, sf):
-    panel = panels.bars(spark, sf)
-    target = M.forward_return(panel).select("date", "code", "target")
-    return panels.with_risk(daily_factors(panel, BATCH).join(target, ["date", "code"]), spark, sf)
+    """Factors, target and risk facts from one pass over the panel."""
+    panel = panels.with_risk(M.forward_return(panels.bars(spark, sf)), spark, sf)
+    return daily_factors(panel, BATCH, ("target", "industry", "market_cap"))
 
 
 def long(spark, sf):

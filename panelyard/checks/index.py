@@ -1,4 +1,8 @@
-"""Cleaning, audits and index research over panels made of the tables."""
+"""Cleaning, audits and index research over panels made of the tables.
+
+The tables hold no index, so its membership is made up here (a rule on code and month says who is a member when), as are flaws
+of raw rows. Queries then run over all of it.
+"""
 
 from __future__ import annotations
 
@@ -224,6 +228,6 @@ def _problem(s, sf):
 
     day = Window.partitionBy("date")
     base = weights(s, sf).withColumn("benchmark", F.col("weight") / F.sum("weight").over(day)).join(scores(s, sf), ["date", "code"])
-    return base.select("date", "code", (F.col("score") - F.avg("score").over(day)).alias("alpha"), "benchmark", (F.lit(1.0) / F.count(F.lit(1)).over(day)).alias("current")).where("date < '1996-01-01'")
+    return base.select("date", "code", (F.col("score") - F.avg("score").over(day)).alias("alpha"), "benchmark", (F.lit(1.0) / F.count(F.lit(1)).over(day)).alias("current"))
 
 

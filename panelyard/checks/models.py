@@ -16,9 +16,8 @@ from panelyard.streaming.bars import stream_bars
 
 
 def _scorer(s, sf):
-    panel = panels.bars(s, sf)
-    target = panels.with_risk(M.forward_return(panel), s, sf).select("date", "code", "target", "industry", "market_cap")
-    return panel, policy.batch_rewards(panel, target)
+    panel = panels.with_risk(M.forward_return(panels.bars(s, sf)), s, sf)
+    return panel, policy.batch_rewards(panel)
 
 
 def search(s, sf):

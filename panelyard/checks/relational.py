@@ -1,4 +1,7 @@
-"""Joins, alignment, set operations and audits of tables."""
+"""Joins, alignment, set operations and audits of tables.
+
+Two sparse blocks with different gaps are made up by rules on code and month: alignment is about such gaps.
+"""
 
 from __future__ import annotations
 

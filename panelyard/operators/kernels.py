@@ -40,7 +40,7 @@ class Steps:
 
     def add(self, key: tuple, inputs: tuple[str, ...], make: Callable[..., Column], part: str | None = None) -> str:
         if (*key, *inputs) not in self.by_key:
-            name = f"{'x' if part != 'agg' else 'r'}{len(self.by_key)}"
+            name = f"{'_x' if part != 'agg' else '_r'}{len(self.by_key)}"
             self.by_key[(*key, *inputs)] = name
             self.steps.append((name, inputs, make, part))
         return self.by_key[(*key, *inputs)]

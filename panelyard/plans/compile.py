@@ -50,8 +50,8 @@ def _needed(plan: kernels.Steps, targets: Sequence[str]) -> kernels.Steps:
     return out
 
 
-def daily_factors(panel: DataFrame, expressions: dict[str, Node | Sequence[str] | str]) -> DataFrame:
-    """date, code and a column for each expression over a daily panel."""
+def daily_factors(panel: DataFrame, expressions: dict[str, Node | Sequence[str] | str], keep: Sequence[str] = ()) -> DataFrame:
+    """date, code, the columns in ``keep`` and a column for each expression over a daily panel."""
     trees = {k: v if isinstance(v, Node) else parse(v, DAILY) for k, v in expressions.items()}
     if missing := set().union(*(t.leaves() for t in trees.values())) - set(panel.columns):
         raise ValueError(f"the panel has no {sorted(missing)}")
@@ -64,8 +64,8 @@ def daily_factors(panel: DataFrame, expressions: dict[str, Node | Sequence[str]
 
     out = {k: lower(t) for k, t in trees.items()}
     leaves = sorted(set().union(*(t.leaves() for t in trees.values())))
-    frame = _apply(panel.select("date", "code", *leaves), plan)
-    return frame.select("date", "code", *[F.col(c).alias(k) for k, c in out.items()])
+    frame = _apply(panel.select("date", "code", *dict.fromkeys([*keep, *leaves])), plan)
+    return frame.select("date", "code", *keep, *[F.col(c).alias(k) for k, c in out.items()])
 
 
 def minute_factors(panel: DataFrame, expressions: dict[str, Node | Sequence[str] | str]) -> DataFrame:

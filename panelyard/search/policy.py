@@ -71,15 +71,18 @@ class Policy:
         self.log_z, self.logits = state["log_z"], {tuple(k): np.array(v) for k, v in state["logits"]}
 
 
-def batch_rewards(panel: DataFrame, target_and_risk: DataFrame, **settings) -> Callable[[Sequence[Node]], dict[str, dict]]:
-    """A function from trees to their score rows, by rendered text: one job for all that it hasn't scored before."""
+def batch_rewards(panel: DataFrame, **settings) -> Callable[[Sequence[Node]], dict[str, dict]]:
+    """A function from trees to their score rows, by rendered text: one job for all that it hasn't scored before.
+
+    ``panel`` has target, industry and market_cap beside the features.
+    """
     known: dict[str, dict] = {}
 
     def score(trees: Sequence[Node]) -> dict[str, dict]:
         new = {str(t): t for t in trees if str(t) not in known}
         if new:
             names = {f"f{i}": t for i, t in enumerate(new)}
-            frame = daily_factors(panel, {f: new[t] for f, t in names.items()}).join(target_and_risk, ["date", "code"])
+            frame = daily_factors(panel, {f: new[t] for f, t in names.items()}, ("target", "industry", "market_cap"))
             rows = metrics.reward(metrics.long_form(frame, list(names)), **settings).collect()
             found = {names[r.factor]: r.asDict() for r in rows}
             known.update({t: found.get(t, {"reward": settings.get("floor", 1e-8), "coverage": 0.0}) for t in new})
