@@ -51,47 +51,50 @@ def reward(
 ) -> DataFrame:
     """A row per factor: rank IC, long-leg information ratio, exposures, coverages, reward. Needs industry and market_cap."""
     day = _per_day()
-    eligible = long.where("target is not null").withColumn("n_all", F.count(F.lit(1)).over(day)).where(F.col("n_all") >= min_cross_section)
-    eligible = eligible.withColumn("n", F.count("value").over(day))
-    coverage = eligible.groupBy("factor").agg(
-        (F.count("value") / F.count(F.lit(1))).alias("coverage"),
-        (F.count_distinct(F.when(F.col("n") >= min_cross_section, F.col("date"))) / F.count_distinct("date")).alias("date_coverage"),
-    )
-    valid = _tops(eligible.where(F.col("value").isNotNull() & (F.col("n") >= min_cross_section)), top_quantile)
+    eligible = long.where("target is not null").withColumns({"n_all": F.count(F.lit(1)).over(day), "n": F.count("value").over(day)}).where(F.col("n_all") >= min_cross_section)
+    # Scored rows are marked, not filtered, so that coverage comes from the same pass.
+    scored = F.col("value").isNotNull() & (F.col("n") >= min_cross_section)
     size = F.when(F.col("market_cap").isNotNull(), F.greatest("market_cap", F.lit(0.0)))
-    grouped = Window.partitionBy("factor", "date", "industry")
-    ranked = valid.withColumns(
+    marked = eligible.withColumns({"v": F.when(scored, F.col("value")), "t": F.when(scored, F.col("target")), "size": F.when(scored, size)})
+    marked = marked.withColumns({"value_s": F.when(F.col("size").isNotNull(), F.col("v")), "value_i": F.when(F.col("industry").isNotNull(), F.col("v")), "kind": F.when(scored, F.col("industry"))})
+    ranked = marked.withColumns(
         {
-            "rank_v": average_rank(F.col("value"), day), "rank_t": average_rank(F.col("target"), day), "size": size,
-            "value_s": F.when(size.isNotNull(), F.col("value")), "value_i": F.when(F.col("industry").isNotNull(), F.col("value")),
+            "cut": F.percentile("v", F.lit(1.0 - top_quantile)).over(day), "rank_v": average_rank(F.col("v"), day), "rank_t": average_rank(F.col("t"), day), "rank_s": average_rank(F.col("size"), day),
+            "rank_vs": average_rank(F.col("value_s"), day), "mean_d": F.avg("value_i").over(day), "mean_i": F.avg("value_i").over(Window.partitionBy("factor", "date", "kind")),
         }
-    ).withColumns({"rank_s": average_rank(F.col("size"), day), "rank_vs": average_rank(F.col("value_s"), day), "mean_d": F.avg("value_i").over(day), "mean_i": F.avg("value_i").over(grouped)})
+    )
     days = ranked.groupBy("factor", "date").agg(
-        corr_agg(F.col("rank_v"), F.col("rank_t")).alias("ic"),
-        (F.avg(F.when(F.col("top"), F.col("target"))) - F.avg("target")).alias("excess"),
+        F.count(F.lit(1)).alias("n_all"), F.count("value").alias("n"), corr_agg(F.col("rank_v"), F.col("rank_t")).alias("ic"),
+        (F.avg(F.when(F.col("v") >= F.col("cut"), F.col("t"))) - F.avg("t")).alias("excess"),
         F.when(F.count("size") >= 5, F.abs(corr_agg(F.col("rank_vs"), F.col("rank_s")))).alias("size_ic"),
-        F.count("value_i").alias("n_i"), F.count_distinct("industry").alias("n_kinds"),
+        F.count("value_i").alias("n_i"), (F.min("kind") != F.max("kind")).alias("mixed"),
         F.sum((F.col("value_i") - F.col("mean_d")) ** 2).alias("total"), F.sum((F.col("value_i") - F.col("mean_i")) ** 2).alias("within"),
     )
-    explained = F.when((F.col("n_i") >= 8) & (F.col("n_kinds") >= 2) & (F.col("total") > EPS), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("within") / F.col("total"))))
+    explained = F.when((F.col("n_i") >= 8) & F.col("mixed") & (F.col("total") > EPS), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("within") / F.col("total"))))
     zero = F.lit(0.0)
     out = days.groupBy("factor").agg(
+        (F.sum("n") / F.sum("n_all")).alias("coverage"), (F.sum((F.col("n") >= min_cross_section).cast("long")) / F.count(F.lit(1))).alias("date_coverage"),
         F.coalesce(F.avg("ic"), zero).alias("rank_ic"), _ratio_of(F.avg("excess"), F.stddev_samp("excess"), F.count("excess"), horizon).alias("long_ir"),
         F.coalesce(F.avg("excess") * (YEAR / (horizon - 1)), zero).alias("annualized"), F.coalesce(F.avg(explained), zero).alias("industry_exposure"), F.coalesce(F.avg("size_ic"), zero).alias("size_exposure"),
     )
-    out = coverage.join(out, "factor", "left").na.fill(0.0)
     penalty = F.least(F.lit(1.0), F.pow(F.least("coverage", "date_coverage") / min_coverage, F.lit(coverage_power)))
     value = F.abs("rank_ic") * F.greatest(F.lit(0.05), 1 + F.least(F.greatest("long_ir", F.lit(-0.95)), F.lit(5.0))) * F.exp(-risk_aversion * (F.col("industry_exposure") + F.col("size_exposure"))) * penalty
     return out.withColumn("penalty", penalty).withColumn("reward", F.greatest(F.lit(floor), value))
 
 
-def daily_ic(long: DataFrame, min_cross_section: int = 20) -> DataFrame:
-    """factor, date, ic, rank_ic on rows with both numbers, on days with enough of them."""
-    both = long.where("value is not null and target is not null")
+def _days(both: DataFrame, top: Column) -> DataFrame:
+    """factor, date, n, ic_all, rank_ic_all, excess of the marked rows, over rows with both numbers."""
     day = _per_day()
     ranked = both.withColumns({"rank_v": average_rank(F.col("value"), day), "rank_t": average_rank(F.col("target"), day)})
-    days = ranked.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("n"), corr_agg(F.col("value"), F.col("target")).alias("ic"), corr_agg(F.col("rank_v"), F.col("rank_t")).alias("rank_ic"))
-    return days.where(F.col("n") >= min_cross_section).select("factor", "date", "ic", "rank_ic")
+    return ranked.groupBy("factor", "date").agg(
+        F.count(F.lit(1)).alias("n"), corr_agg(F.col("value"), F.col("target")).alias("ic_all"), corr_agg(F.col("rank_v"), F.col("rank_t")).alias("rank_ic_all"), (F.avg(F.when(top, F.col("target"))) - F.avg("target")).alias("excess")
+    )
+
+
+def daily_ic(long: DataFrame, min_cross_section: int = 20) -> DataFrame:
+    """factor, date, ic, rank_ic on rows with both numbers, on days with enough of them."""
+    days = _days(long.where("value is not null and target is not null"), F.lit(False))
+    return days.where(F.col("n") >= min_cross_section).select("factor", "date", F.col("ic_all").alias("ic"), F.col("rank_ic_all").alias("rank_ic"))
 
 
 def stability(long: DataFrame) -> DataFrame:
@@ -106,20 +109,20 @@ def stability(long: DataFrame) -> DataFrame:
 
 def summary(long: DataFrame, horizon: int = 5, min_cross_section: int = 20, rolling: int = 60, top_quantile: float = 0.1) -> DataFrame:
     """A row per factor: IC, RankIC, ICIR, Sharpe, rolling and temporal stability, rank stability and turnover."""
-    ics = daily_ic(long, min_cross_section)
-    frame = Window.partitionBy("factor").orderBy("date").rowsBetween(-(rolling - 1), 0)
-    own = ics.where("rank_ic is not null").withColumn("roll", F.when(F.count("rank_ic").over(frame) >= min(10, rolling), F.avg("rank_ic").over(frame)))
+    days = _days(_tops(long, top_quantile), F.col("top"))
+    known = (F.col("n") >= min_cross_section) & F.col("rank_ic_all").isNotNull()
+    days = days.select("factor", "date", "excess", F.when(F.col("n") >= min_cross_section, F.col("ic_all")).alias("ic"), F.when(known, F.col("rank_ic_all")).alias("rank_ic"), known.alias("known"))
+    # Days without a rank IC are a partition of their own, so that they take no place in the rolling frames.
+    frame = Window.partitionBy("factor", "known").orderBy("date").rowsBetween(-(rolling - 1), 0)
     whole = Window.partitionBy("factor")
-    own = own.withColumn("same", (F.signum("rank_ic") == F.signum(F.avg("rank_ic").over(whole))).cast("double"))
+    days = days.withColumns({"roll": F.when(F.count("rank_ic").over(frame) >= min(10, rolling), F.avg("rank_ic").over(frame)), "mean": F.avg("rank_ic").over(whole)})
     zero = F.lit(0.0)
-    ranks = own.groupBy("factor").agg(
-        F.avg("rank_ic").alias("RankIC"), _ratio_of(F.avg("rank_ic"), F.stddev_samp("rank_ic"), F.count("rank_ic"), horizon).alias("ICIR"),
-        F.coalesce(F.avg("roll"), F.avg("rank_ic")).alias("rolling_ic_mean"), F.when(F.count("roll") > 1, F.stddev_samp("roll")).otherwise(zero).alias("rolling_ic_std"), F.avg("same").alias("same"),
+    out = days.groupBy("factor").agg(
+        _ratio_of(F.avg("excess"), F.stddev_samp("excess"), F.count("excess"), horizon).alias("Sharpe"), F.avg("ic").alias("IC"), F.avg("rank_ic").alias("RankIC"),
+        _ratio_of(F.avg("rank_ic"), F.stddev_samp("rank_ic"), F.count("rank_ic"), horizon).alias("ICIR"), F.coalesce(F.avg("roll"), F.avg("rank_ic")).alias("rolling_ic_mean"),
+        F.when(F.count("roll") > 1, F.stddev_samp("roll")).otherwise(zero).alias("rolling_ic_std"), F.avg((F.signum("rank_ic") == F.signum("mean")).cast("double")).alias("same"),
     )
-    plain = ics.groupBy("factor").agg(F.coalesce(F.avg("ic"), zero).alias("IC"))
-    excess = _tops(long, top_quantile).groupBy("factor", "date").agg((F.avg(F.when(F.col("top"), F.col("target"))) - F.avg("target")).alias("excess"))
-    sharpe = excess.groupBy("factor").agg(_ratio_of(F.avg("excess"), F.stddev_samp("excess"), F.count("excess"), horizon).alias("Sharpe"))
-    out = sharpe.join(plain, "factor", "left").join(ranks, "factor", "left").join(stability(long), "factor", "left").na.fill(0.0)
+    out = out.join(stability(long), "factor", "left").na.fill(0.0)
     return out.withColumn("temporal_stability", F.col("same") / (1 + F.col("rolling_ic_std"))).drop("same")
 
 
