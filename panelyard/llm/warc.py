@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n"
 RECORD_ID = "urn:x-page:"
 END = "\r\n\r\n"
+#: Of zstd: payloads are moved twice and stored once.
+LEVEL = 9
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -83,14 +85,14 @@ def write_archive(
     # Of a payload only the owner's row is moved, compressed; the key that deals it out also drops equal rows of one owner.
     key = lambda digest, page: F.concat(F.col(digest), F.lit(":"), F.coalesce(F.col(page).cast("string"), F.lit("")))
     packed = rows.select("page_id", "payload", "digest").mapInArrow(_pack, f"page_id {rows.schema['page_id'].dataType.simpleString()}, payload binary, digest string")
-    kept = packed.select("digest", "payload", key("digest", "page_id").alias("key")).join(owners.select(key("digest", "owner").alias("key")), "key", "left_semi")
-    kept.dropDuplicates(["key"]).select("digest", "payload").write.parquet(f"{path}/payloads")
+    kept = packed.select("payload", key("digest", "page_id").alias("key")).join(owners.select(key("digest", "owner").alias("key")), "key", "left_semi")
+    kept.dropDuplicates(["key"]).select(F.substring_index("key", ":", 1).alias("digest"), "payload").write.parquet(f"{path}/payloads")
     release(pages.sparkSession)
     return path
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
+    press = zstandard.ZstdCompressor(level=LEVEL)
     for batch in batches:
         payload = pa.array([press.compress(x.as_buffer()) for x in batch.column("payload")], pa.binary())
         yield pa.record_batch([batch.column("page_id"), payload, batch.column("digest")], names=["page_id", "payload", "digest"])
