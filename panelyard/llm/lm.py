@@ -15,6 +15,9 @@ sends its distinct n-grams with their training counts, packed, to ranges of the
 block's requests; block and answers meet again, and the block traverses its part of the automaton. A hot n-gram is sent
 once per block, so no range is hot. n-grams are known by 64-bit hashes.
 
+The corpus totals come with the answers while every block asks every range. With more than ``INLINE`` blocks that would be too many
+messages, so blocks ask only ranges that they need, and totals are summed by a job before.
+
 Defined cases: a null or empty text is its end token alone; a row with a null doc_id isn't held out; rows that repeat each
 count and each give a row; without training texts every token is unseen; no rows give no rows; further columns are
 ignored.
@@ -37,7 +40,9 @@ BLOCK_BYTES = 12 << 20
 END = np.uint64(0x5BF0A8B1457695E3)
 #: History of a text's first token.
 START = np.uint64(0x1D8E4E27C47D124F)
-SCHEMA = "part int, block int, grams binary, counts binary"
+SCHEMA = "part long, block int, grams binary, counts binary"
+#: Blocks up to which each asks every range.
+INLINE = 1024
 
 
 def held_out(id_col: Column, parts: int, part: int) -> Column:
@@ -112,6 +117,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     ranges = blocks  # so a range adds up about as much as a block sends
+    inline, known_facts = blocks <= INLINE, []
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
@@ -121,8 +127,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         block, out = key[0].as_py(), []
         for r, n, hashed, counts in _requests(grams, mask, ranges):
             kind, small = _small(counts)
-            out.append((r * order + n - 1, block, hashed.tobytes(), bytes([kind]) + _pack(small)))
-        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "grams", "counts"])
+            if inline or len(hashed):
+                out.append((r * order + n - 1, block, hashed.tobytes(), bytes([kind]) + _pack(small)))
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "grams", "counts"])
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = [(b, g, c) for batch in batches for b, g, c in zip(*(batch.column(x).to_pylist() for x in ("block", "grams", "counts")))]
@@ -135,13 +142,16 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         total = np.add.reduceat(np.concatenate(counts)[order_], head) if len(head) else np.zeros(0, np.int64)
         back = np.empty(len(everything), np.int64)
         back[order_] = np.repeat(total, np.diff(np.append(head, len(sorted_))))
-        facts = np.array([total.sum(), (total > 0).sum(), (total == 1).sum()], np.int64).tobytes()  # tokens, types, singletons
+        facts = np.array([total.sum(), (total > 0).sum(), (total == 1).sum()], np.int64)  # tokens, types, singletons
+        row = lambda block, x, y: pa.record_batch([pa.array([key[0].as_py()], pa.int64()), pa.array([block], pa.int32()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["part", "block", "grams", "counts"])
+        if not inline:
+            yield row(-1, ",".join(map(str, facts.tolist())).encode(), b"")
         at = 0
         for block, g, _ in asked:
             n = len(g) // 8
             kind, small = _small(back[at : at + n])
             at += n
-            yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([block], pa.int32()), pa.array([facts]), pa.array([bytes([kind]) + _pack(small)])], names=["part", "block", "grams", "counts"])
+            yield row(block, facts.tobytes() if inline else b"", bytes([kind]) + _pack(small))
 
     def traverse(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         tokens, first = _tokens(table.column("text").combine_chunks())
@@ -149,7 +159,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         got = sorted(zip(*(answers.column(x).to_pylist() for x in ("part", "grams", "counts"))))
         for n in range(1, order + 1):
             mine = [(f, c) for part, f, c in got if part % order == n - 1]
-            facts = sum(np.frombuffer(f, np.int64) for f, _ in mine)
+            facts = sum(np.frombuffer(f, np.int64) for f, _ in mine) if inline else known_facts[n - 1]
             totals = np.concatenate([_unpack(c[1:], f"<u{c[0]}").astype(np.int64) for _, c in mine])
             here = totals[np.searchsorted(np.unique(grams[n - 1]), grams[n - 1])]
             if n == 1:
@@ -177,6 +187,12 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     asked = dealt.groupBy("block").applyInArrow(ask, SCHEMA)
     answered = asked.groupBy("part").applyInArrow(answer, SCHEMA)
+    if not inline:
+        numbers = F.split(F.col("grams").cast("string"), ",")
+        by_order = answered.where("block = -1").groupBy((F.col("part") % order).alias("n")).agg(*[F.sum(numbers[i].cast("long")) for i in range(3)])
+        found = {r[0]: [int(x) for x in r[1:]] for r in by_order.collect()}
+        known_facts += [found.get(n, [0, 0, 0]) for n in range(order)]
+        answered = answered.where("block >= 0")
     schema = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(traverse, schema)
 

@@ -84,3 +84,10 @@ def test_the_model_is_a_distribution(spark):
     source = [(i, t, True) for i, t in enumerate(texts)]
     want = brute(source + [(9, "a", False)], 2)
     assert alone == pytest.approx(want[9][4], abs=1e-9)
+
+
+def test_many_blocks_give_the_same(spark, monkeypatch):
+    texts = ["a b a b A", "a  b\tc", "", "zz a b", None, "a b c a b c"]
+    source = [(i + 1, t, i % 3 != 1) for i, t in enumerate(texts)]
+    monkeypatch.setattr(lm, "INLINE", 2)
+    check(lm.score(documents(spark, texts), F.col("doc_id") % 3 != 2, block_bytes=5).collect(), brute(source, 2))
