@@ -33,7 +33,7 @@ from panelyard.llm import words
 
 LONG = 256
 #: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time.
-AT_ONCE, CACHED, PIECE = 20_000, 150_000, 1 << 22
+AT_ONCE, CACHED, PIECE = 20_000, 300_000, 1 << 22
 
 #: Rows come in the order of (word, position), and a step keeps the order of what it reads, so a neighbour is the next row;
 #: the order of everything returned is verified.
@@ -106,9 +106,11 @@ class Codec:
             self.db.register("given", table)
             self.db.execute(f"create table {name} as select * from given")
             self.db.unregister("given")
-        # Codes of matches and of segments by their text: those used since the last turn, and those used before it.
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
+        # Ids of matches and of segments by their text: those used since the last turn, and those used before it.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # What the ids of a match decode to, for those that don't give back its bytes: none with a whole byte alphabet.
+        self.other: dict[str, bytes] = {}
 
     def _run(self, sql: str, tokens: np.ndarray, sizes: np.ndarray) -> pa.Table:
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -177,11 +179,13 @@ class Codec:
                         young[p] = code
                     else:
                         new.add(p)
-        young.update((p.decode(), code) for p, code in self.encode([p.encode() for p in new]))
+        for p, (ids, decoded) in self.encode([p.encode() for p in new]):
+            young[name := p.decode()] = ids
+            if decoded != p:
+                self.other[name] = decoded
         for x, parts in cut.items():
             if len(parts) != 1:
-                found = [young[p] for p in parts]
-                young[x] = (b"".join([f[0] for f in found]), b"".join([f[1] for f in found]))
+                young[x] = b"".join([young[p] for p in parts])
 
     def texts(self, some: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """(ids, decoded bytes) of whole texts."""
@@ -191,8 +195,11 @@ class Codec:
         self._learn(set().union(*cut))
         young = self.young
         for x in cut:
-            found = [young[s] for s in x]
-            yield b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
+            ids = b"".join([young[s] for s in x])
+            if self.other:
+                yield ids, b"".join([self.other.get(p, p.encode()) for s in x for p in self.split.findall(s)])
+            else:  # each match was decoded and gave its own bytes
+                yield ids, "".join(x).encode()
 
 
 #: A single space between characters that are no white space under any definition begins a match in every text.
