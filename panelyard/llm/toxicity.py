@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelyard.llm import words
 from panelyard.llm.lm import held_out
 
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 4 << 20
 #: Lengths in bytes of word beginnings.
 BEGINNINGS = (4, 5, 6)
 MOST_FEATURES, MOST_VOTERS, LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 1000, 200, 3, 2.0, 5.0
