@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from panelyard.llm import bpe
 from panelyard.session import stored
 
-RANGE = 1024
+RANGE = 128
 
 
 def histogram(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
