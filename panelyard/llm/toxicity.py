@@ -7,8 +7,8 @@ right, and from the posteriors the correlations between voters that class does n
 sum of its squared correlations, so that voters that say the same thing count once. The given label is one more voter, of known accuracy. The
 posteriors are the training labels of a linear classifier on the presence of words and word beginnings, which scores all texts.
 
-Mining and fitting happen on the driver, on at most ``SAMPLE_ROWS`` labelled texts per label and ``SAMPLE_BYTES`` of text
-per label, chosen by a hash of doc_id. The sample's ids go to the documents as a broadcast of at most twice ``SAMPLE_ROWS`` rows.
+Mining and fitting happen on the driver, on at most ``SAMPLE_ROWS`` labelled texts per label and ``SAMPLE_BYTES`` of toxic
+text, half as much of clean, chosen by a hash of doc_id. The sample's ids go to the documents as a broadcast of at most twice ``SAMPLE_ROWS`` rows.
 Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text has the score of a text without features; without labelled rows, or with one label
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from panelyard.llm import words
 from panelyard.llm.lm import held_out
 
-SAMPLE_ROWS, SAMPLE_BYTES = 4000, 4 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8 << 20
 #: Lengths in bytes of word beginnings.
 BEGINNINGS = (4, 5, 6)
 MOST_FEATURES, MOST_VOTERS, LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 1000, 200, 3, 2.0, 5.0
@@ -152,7 +152,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     fits = F.lit(False)
     for label, n in size.items():
         # The same hash again, finer: rows are drawn at the rate that the bytes allow.
-        fits = F.when(F.col("label") == label, F.pmod(F.xxhash64("key"), million) < F.lit(min(1.0, most / max(1, n))) * million).otherwise(fits)
+        fits = F.when(F.col("label") == label, F.pmod(F.xxhash64("key"), million) < F.lit(min(1.0, (most if label else most // 2) / max(1, n))) * million).otherwise(fits)
     chosen = joined.where(fits).collect()
     return [(r.text, r.label) for r in sorted(chosen, key=lambda r: (r.key, r.text or ""))]
 
