@@ -145,18 +145,20 @@ def logic_score(complexity: float, depth: float) -> float:
     return math.exp(-0.08 * max(0.0, complexity - 5.0) - 0.20 * max(0.0, depth - 3.0))
 
 
-def rank_correlation(frame: DataFrame, factors: list[str], max_rows: int = 500_000) -> DataFrame:
-    """a, b, corr for each pair of factors: correlation of daily percentile ranks; beyond ``max_rows`` on evenly spaced dates.
+def rank_correlation(frame: DataFrame, factors: list[str], max_rows: int | None = None) -> DataFrame:
+    """a, b, corr for each pair of factors: correlation of daily percentile ranks over every date. Only a caller that names ``max_rows``
+    gets evenly spaced dates of larger panels instead.
 
     All pairs are moments of one aggregation; the result has a row per pair.
     """
-    counts = frame.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    n_rows, n_dates = counts.agg(F.sum("n"), F.count("n")).first()
-    if (n_rows or 0) > max_rows:
-        wanted = max(1, int(n_dates * max_rows / n_rows))
-        spots = sorted({int(x) for x in np.linspace(0, n_dates - 1, wanted)})
-        dates = counts.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("at")).where(F.col("at").isin(spots))
-        frame = frame.join(dates.select("date"), "date", "left_semi")
+    if max_rows is not None:
+        counts = frame.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+        n_rows, n_dates = counts.agg(F.sum("n"), F.count("n")).first()
+        if (n_rows or 0) > max_rows:
+            wanted = max(1, int(n_dates * max_rows / n_rows))
+            spots = sorted({int(x) for x in np.linspace(0, n_dates - 1, wanted)})
+            dates = counts.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("at")).where(F.col("at").isin(spots))
+            frame = frame.join(dates.select("date"), "date", "left_semi")
     day = Window.partitionBy("date")
     ranked = frame.select(*[pct_rank(F.col(f), day).alias(f) for f in factors])
     pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]

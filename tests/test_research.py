@@ -41,6 +41,13 @@ def test_determinantal_choice_prefers_different_rows():
     assert M.determinantal_choice(np.ones((3, 3)), 3) == [0] and M.determinantal_choice(np.eye(2), 0) == []
 
 
+def test_rank_correlation_covers_every_date_of_a_large_panel(spark):
+    # y follows x on three dates and opposes it on the other three, so any unequal choice of dates shows.
+    frame = spark.range(600_006).select(F.date_add(F.lit(DAY), (F.col("id") % 6).cast("int")).alias("date"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id")).cast("double").alias("y"))
+    assert M.rank_correlation(frame, ["x", "y"]).first()["corr"] == pytest.approx(0, abs=1e-6)
+    assert M.rank_correlation(frame, ["x", "y"], max_rows=500_000).first()["corr"] == pytest.approx(-0.5, abs=1e-6)
+
+
 def test_noise_is_repeatable_and_small(spark):
     rows = [("f", day(d), c, float((c * 7 + d) % 31), float((c * 7 + d) % 31 + c % 3)) for d in range(5) for c in range(40)]
     long = spark.createDataFrame(rows, "factor string, date date, code long, value double, target double")
