@@ -64,6 +64,19 @@ def test_targets_respect_buffer_youth_and_cap():
     assert I.controlled_targets(ranked, [], {}, 3, 5, 0.5, 1) == ["A", "B", "C"]
 
 
+def test_path_agrees_with_full_rankings(spark):
+    rng = np.random.default_rng(7)
+    rankings = [[f"c{x:02d}" for x in rng.permutation(60)] for _ in range(12)]
+    ranked = spark.createDataFrame([(day(d), c, i + 1) for d, names in enumerate(rankings) for i, c in enumerate(names)], "date date, code string, order int")
+    for args in ((5, 10, 0.3, 2), (10, 20, 0.3, 2), (4, 4, 0.25, 0)):
+        held, days, want = [], {}, []
+        for d, names in enumerate(rankings):
+            held = I.controlled_targets(names, held, days, *args)
+            days = {c: days.get(c, 0) + 1 for c in held}
+            want += [(day(d), c, i + 1) for i, c in enumerate(held)]
+        assert sorted(map(tuple, I.portfolio_path(ranked, *args).collect())) == sorted(want)
+
+
 def test_weights_keep_bounds_sum_and_turnover():
     benchmark, current = np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.39, 0.29, 0.2, 0.12])
     w = I.optimise(np.array([-1, 1, 0.5, 0.0]), benchmark, current, active=0.05, turnover=0.06)
