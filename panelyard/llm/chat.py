@@ -1,10 +1,10 @@
 """Chat formatting with a grammar that is read back.
 
 Template: every turn is ``<s>[INST] role [/INST] text</s>``. The parser splits at ``</s>``, takes the role up to the
-first ``[/INST]`` and removes one level of escaping. A turn is first rendered as it is; where the parser doesn't return
-the source, a backslash goes into each control string of the turn (and into those that hold backslashes already, so
-that the escaping can be undone exactly), and the whole conversation is compared again. One round of escaping is always
-enough, since removal is its exact inverse; a conversation that still differed would raise.
+first ``[/INST]`` and removes one level of escaping. A backslash goes into each control string of a role or text (and into
+those that hold backslashes already, so that the escaping can be undone exactly), whether or not the parser would be misled by
+it. Then the whole conversation is read back and compared with its source. One round of escaping is always enough, since
+removal is its exact inverse; a conversation that still differed would raise.
 
 Everything is a built-in function on one row per conversation; the only shuffle gathers the turns of a conversation.
 
@@ -36,10 +36,6 @@ def _head(role: Column) -> Column:
     return F.concat(F.lit(BEGIN + OPEN), role, F.lit(CLOSE))
 
 
-def render_turn(role: Column, text: Column) -> Column:
-    return F.concat(_head(role), text, F.lit(END))
-
-
 def parse(formatted: Column) -> Column:
     """Turns of a formatted conversation, as an array of (role, text)."""
     pieces = F.split(formatted, F.lit(END), F.lit(-1))
@@ -68,8 +64,7 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     source = gathered.select("conv_id", F.transform("ts", lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
     def written(t: Column) -> Column:
-        plain = parse(render_turn(t.role, t.text)) == F.array(F.struct(t.role.alias("role"), t.text.alias("text")))
-        return F.struct(F.when(plain, t.role).otherwise(escape(t.role)).alias("role"), F.when(plain, t.text).otherwise(escape(t.text)).alias("text"), t.role.alias("by"))
+        return F.struct(escape(t.role).alias("role"), escape(t.text).alias("text"), t.role.alias("by"))
 
     def segments(t: Column) -> Column:
         return F.array(
