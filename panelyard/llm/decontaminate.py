@@ -170,12 +170,13 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = SHARE) -> Colum
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = GRAM, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """``docs`` without contaminated rows: in place against one block; by their ids against several, which need runs united first."""
+    """``docs`` without contaminated rows: in place against one block; by the digests of their texts against several, which need runs united first."""
     items, blocks = _blocks(benchmark, "item_id", "text", most_bytes)
     if blocks > 1:
-        found = contamination(docs, benchmark, id_col, text_col, window=window, k=k, most_bytes=most_bytes)
-        bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+        digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+        found = contamination(docs.select(digest.alias("digest"), docs[text_col].alias("text")), benchmark, "digest", "text", window=window, k=k, most_bytes=most_bytes)
+        bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad")).distinct()
+        return docs.join(bad, digest == bad["bad"], "left_anti")
     shared, held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), []
 
     def clean(column: pa.Array) -> np.ndarray:

@@ -66,6 +66,19 @@ def test_edge_cases(spark):
     assert len(none) == len(texts) + 1 and not any(r.n_hit or r["items"] for r in none)
 
 
+def test_rows_are_judged_by_their_own_text_in_one_block_and_in_several(spark):
+    texts, items = case()
+    docs, bench = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    bad = {t for (n, hit, _), t in zip(brute(list(enumerate(texts)), items).values(), texts) if hit and 20 * hit >= n}
+    want = sorted(str(t) for t in texts if t not in bad)
+    assert bad and set(texts) - bad
+    for ids in ("cast(null as long)", "7L", "if(doc_id % 2 = 0, null, doc_id % 5)"):
+        odd = docs.selectExpr(f"{ids} as doc_id", *docs.columns[1:])
+        for most in (1 << 24, 500):
+            got = decontaminate.decontaminated(odd, bench, most_bytes=most)
+            assert got.columns == docs.columns and sorted(str(r.text) for r in got.collect()) == want
+
+
 def test_query(spark):
     texts, items = case()
     path = shared_path(spark, "case")
