@@ -198,25 +198,41 @@ def components(edges: DataFrame) -> DataFrame:
         state = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, half: int = HALF) -> DataFrame:
-    """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id that links reach."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, half: int = HALF) -> DataFrame:
+    """(doc_id, fp, component_id, leads) for each row; of each group, rows of the smallest doc_id with its smallest fingerprint lead."""
     each = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = stored(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distinct.count(), half))
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = placed.join(placed.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    lead = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "fp"))).alias("lead")
+    named = placed.join(placed.groupBy("root").agg(lead), "root").select("fp", F.col("lead.first").alias("component_id"), (F.col("lead.fp") == F.col("fp")).alias("own"))
+    return each.join(named, "fp").select("doc_id", "fp", "component_id", (F.col("own") & (F.col("doc_id") == F.col("component_id"))).alias("leads"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, half: int = HALF) -> DataFrame:
+    """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id that links reach."""
+    return _grouped(docs, id_col, text_col, words, half).drop("leads")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest doc_id. Rows without doc_id stay."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = stored(found.withColumnRenamed("doc_id", id_col), "kept")
+    """``docs`` with one document of each group: the one with the smallest doc_id, of several texts with that id the one with the
+    smallest fingerprint, then digest. Rows without doc_id stay."""
+    found = _grouped(docs, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("leads"), F.col("fp"))).alias("fps"))
+    kept = stored(found.where("size(fps) > 0").withColumnRenamed("doc_id", id_col), "kept")
     # The ids grow with the documents, so the join is a shuffle at every size; their hash tables are small, texts aren't sorted.
     rows = docs.join(kept.where("n = 1").hint("shuffle_hash"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
     if kept.where("n > 1").isEmpty():
         return rows
-    return rows.unionByName(docs.join(kept.where("n > 1").hint("shuffle_hash"), id_col, "left_semi").dropDuplicates([id_col]))
+    # Rows that share an id are told apart by their texts: one text stays for each group that the id leads.
+    shared = kept.where("n > 1").select(id_col, "fps")
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    texts = docs.join(shared.hint("shuffle_hash"), id_col, "left_semi").select(F.struct(F.col(id_col).alias("id"), digest.alias("digest")).alias("key"), F.col(text_col).alias("text"))
+    prints = fingerprints(texts.dropDuplicates(["key"]), "key", "text").select("doc_id.id", "doc_id.digest", "fp")
+    chosen = prints.join(shared.select(F.col(id_col).alias("id"), F.explode("fps").alias("fp")), ["id", "fp"]).groupBy("id", "fp").agg(F.min("digest").alias("digest"))
+    wanted = stored(chosen.select("id", "digest"), "chosen")
+    own = F.struct(docs[id_col].alias("id"), digest.alias("digest"))
+    one = docs.join(wanted.hint("shuffle_hash"), (docs[id_col] == wanted["id"]) & (digest == wanted["digest"]), "left_semi")
+    return rows.unionByName(one.withColumn("_key", own).dropDuplicates(["_key"]).select(*docs.columns))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,6 +70,20 @@ def test_rounds_of_a_bucket_lose_nothing(spark, monkeypatch):
         assert [sorted(map(tuple, np.stack(z).T.tolist())) for z in (simhash._meet(x, b, 4, 2), (p, q))][0] == sorted(zip(p.tolist(), q.tolist()))
 
 
+def test_one_row_stays_of_each_group_where_ids_are_shared(spark):
+    rng = random.Random(4)
+    draw = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 9) for _ in range(60))
+    a, b, c, d, e = (draw() for _ in range(5))
+    # 7 leads the groups of a and b, is a member of c's, which 3 leads; 9 has two texts of one fingerprint; 8 repeats a row.
+    rows = [(7, a), (7, b), (10, a), (11, b), (3, c), (7, c), (9, d), (9, d.upper()), (8, e), (8, e), (12, e)]
+    docs = documents(spark, [t for _, t in rows]).drop("doc_id")
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").join(docs.dropDuplicates(["text"]), "text").select("doc_id", *docs.columns)
+    assert len(brute_components(range(5), fps := [brute_fingerprint(t) for t in (a, b, c, d, e)])) == len(set(brute_components(range(5), fps).values())) == 5
+    kept = simhash.keep_first(docs)
+    first = min((d, d.upper()), key=lambda t: __import__("hashlib").sha256(t.encode()).hexdigest())
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(7, a), (7, b), (3, c), (9, first), (8, e)])
+
+
 def test_edge_cases(spark):
     texts = [None, "", " \t\n", "one", "ONE", "a b c", "a  b\tC", "long " * 20000, "Ünï ünï Ü x y"]
     docs = documents(spark, texts)
