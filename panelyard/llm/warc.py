@@ -124,15 +124,16 @@ def parse_records(records: DataFrame) -> DataFrame:
     # ISO-8859-1 maps each byte to one character, so that offsets in text are offsets in bytes.
     text = records.withColumn("text", F.decode("record", "ISO-8859-1"))
     head = text.withColumn("head", F.substring_index("text", END, 1))
-    http = head.withColumn("block", F.expr(f"substring(text, length(head) + 5, cast(regexp_extract(head, '(?m)^Content-Length: (\\\\d+)', 1) as int))")).drop("text", "record")
+    http = head.withColumn("block", F.expr(f"substring(text, length(head) + 5, cast(regexp_extract(head, '(?md)^Content-Length: (\\\\d+)', 1) as int))")).drop("text", "record")
 
     def field(name: str, pattern: str) -> Column:
-        return F.nullif(F.regexp_extract("head", f"(?m)^{name}: {pattern}\r?$", 1), F.lit(""))
+        # Unix lines: by Java's other rule a line also ends at 0x85, a byte of UTF-8 texts.
+        return F.nullif(F.regexp_extract("head", f"(?md)^{name}: {pattern}\r?$", 1), F.lit(""))
 
     return http.select(
         field("WARC-Record-ID", f"<{RECORD_ID}(-?\\d+)>").cast("long").alias("page_id"),
         field("WARC-Type", "(\\S+)").alias("record_type"),
-        field("WARC-Target-URI", "(.*)").alias("url"),
+        F.decode(F.encode(field("WARC-Target-URI", "([^\r\n]*)"), "ISO-8859-1"), "UTF-8").alias("url"),
         field("WARC-Payload-Digest", "sha1:(\\S+)").alias("payload_digest"),
         field("WARC-Refers-To", f"<{RECORD_ID}(-?\\d+)>").cast("long").alias("refers_to"),
         "digest",

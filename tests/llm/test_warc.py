@@ -33,6 +33,13 @@ def test_round_trip_and_edge_cases(spark):
     )
 
 
+def test_urls_that_are_not_ascii_come_back(spark):
+    urls = ["http://a/é?日=ü", "http://b/\u00c5ngström/\u0085x\u2028y", "http://c/\U0001f600", "http://d/plain"]
+    path = shared_path(spark, "case")
+    pages(spark, [(i, u, f"p{i % 3}") for i, u in enumerate(urls)]).write.parquet(f"{path}/pages.parquet")
+    assert {r.page_id: r.url for r in warc.op9_warc(spark, path).collect()} == dict(enumerate(urls))
+
+
 def test_empty_table_threshold_and_damage(spark):
     path = warc.write_archive(pages(spark, ROWS).where("false"), shared_path(spark, "w"))
     assert warc.read_records(spark, path).collect() == []
