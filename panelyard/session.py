@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,15 +24,16 @@ def local_session(name: str = "panelyard", cores: int | str = 8, partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the session names none."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = "file://" + tempfile.mkdtemp(prefix="panelyard-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current.rstrip("/")
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a local session gets a temporary one; a cluster raises,
+    since its executors couldn't reach a folder of the driver."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if found is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="panelyard-")
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs, which it does once their plans are collected as garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelyard.plans.compile import align, over_blocks, union_keep_last
 from panelyard.plans.nodes import DAILY, Language
 from panelyard.plans.stages import run_stages
-from panelyard.session import release, shared_path, stored
+from panelyard.session import discard, shared_dir, shared_path, stored
 from panelyard.sources import cleaning, panels, store
 from panelyard.streaming.bars import stream_bars
 
@@ -77,6 +77,24 @@ def test_time_codes_and_grid(spark):
 def test_stored_tables_keep_their_schema(spark):
     frame = spark.createDataFrame([(1, None)], "a long, b string")
     assert stored(frame, "x").schema.simpleString() == frame.schema.simpleString() and stored(frame.where("false"), "x").collect() == []
-    release(spark)
     with pytest.raises(ValueError):
         cleaning.rename(frame)
+
+
+def test_shared_folder_is_local_only_in_a_local_session(spark):
+    path = shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+    class Conf:
+        get = staticmethod(lambda name: None)
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(Conf)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(type("Session", (), {"sparkContext": Context}))
