@@ -69,11 +69,8 @@ class Automaton:
     """Arcs by (state, token), a failure arc for each state but the root, which is state 0 and reads any other token at ``unseen``."""
 
     def __init__(self, arcs: list[tuple[np.ndarray, ...]], failure: np.ndarray, left: np.ndarray, start: int, unseen: float, warm: int):
-        """arcs: (state, token, weight, target) arrays; ``left``: weights of failure arcs; ``warm``: tokens that settle the state."""
-        state, token, weight, target = (np.concatenate(x) for x in zip(*arcs))
-        key = state.astype(np.int64) << 32 | token
-        order = np.argsort(key)
-        self.keys, self.weight, self.target = key[order], weight[order], target[order]
+        """arcs: what ``sorted_arcs`` gives, for ascending ranges of states; ``left``: weights of failure arcs; ``warm``: tokens that settle the state."""
+        self.keys, self.weight, self.target = (np.concatenate(x) for x in zip(*arcs))
         self.failure, self.left, self.start, self.unseen, self.warm = failure, left, start, unseen, warm
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +78,7 @@ class Automaton:
         state, weight = state.copy(), np.zeros(len(state))
         todo = np.arange(len(state))
         while len(todo):
-            key = state[todo] << 32 | token[todo]
+            key = state[todo].astype(np.int64) << 32 | token[todo]
             at = np.searchsorted(self.keys, key)
             hit = np.zeros(len(todo), bool)
             inside = at < len(self.keys)
@@ -119,6 +116,12 @@ class Automaton:
         return out
 
 
+def sorted_arcs(state: np.ndarray, token: np.ndarray, weight: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+    key = state.astype(np.int64) << 32 | token
+    order = np.argsort(key)
+    return key[order], weight[order], target[order].astype(np.int32)
+
+
 class Level:
     """The n-grams of a block: ``hashes`` (sorted, distinct), of each position the one that ends there (``index``), a position of each (``at``),
     counts in the block's training texts; then, from the answers, counts in the corpus and whether other blocks hold them."""
@@ -131,9 +134,10 @@ class Level:
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         head = np.flatnonzero(new)
-        self.hashes, self.at = h[head], where[order[head]]
+        self.hashes, self.at = h[head], where[order[head]].astype(np.int32)
+        del h
         self.index = np.full(len(hashed), -1, np.int32)
-        self.index[where[order]] = np.cumsum(new) - 1
+        self.index[where[order]] = np.cumsum(new, dtype=np.int32) - 1
         self.here = np.add.reduceat(train[where][order].astype(np.int64), head) if len(head) else np.zeros(0, np.int64)
         self.asked = np.ones(len(head), bool)
         self.count, self.shared = self.here.copy(), np.zeros(len(head), bool)
@@ -147,7 +151,7 @@ class Block:
         self.tokens, self.first = _tokens(table.column("text").combine_chunks())
         sizes = np.diff(self.first)
         self.train = np.repeat(table.column("train").to_numpy().astype(bool), sizes)
-        self.since = np.arange(len(self.tokens)) - np.repeat(self.first[:-1], sizes)  # tokens before, in the text
+        self.since = np.arange(len(self.tokens), dtype=np.int32) - np.repeat(self.first[:-1].astype(np.int32), sizes)  # tokens before, in the text
         self.order, self.levels = order, [Level(self.tokens, np.ones(len(self.tokens), bool), self.train)]
         self.hashed, self.column = self.tokens, self.tokens
 
@@ -193,18 +197,17 @@ class Block:
         end = np.searchsorted(one.hashes, END)
         if end < n_words and one.hashes[end] == END:
             texts = int(one.count[end])  # they begin as often as they end
-        begins = self.since == 0
+        self.hashed = self.column = None
         # State 0 is the root, state 1 the beginning of a text; then the known n-grams of each level but the last.
         states, n_states = [], 2
         for level in self.levels[: self.order - 1]:
             known = level.count > 0
-            states.append(np.where(known, n_states + np.cumsum(known) - 1, 0))
+            states.append(np.where(known, n_states + np.cumsum(known, dtype=np.int32) - 1, 0).astype(np.int32))
             n_states += int(known.sum())
-        failure, left = np.zeros(n_states, np.int64), np.zeros(n_states)
+        failure, left = np.zeros(n_states, np.int32), np.zeros(n_states)
         probability = (one.count + 1) / (self.total + one.types + 1)
-        to = states[0] if states else np.zeros(n_words, np.int64)
         known = np.flatnonzero(one.count)
-        arcs = [(np.zeros(len(known), np.int64), known, np.log10(probability[known]), to[known])]
+        arcs = [sorted_arcs(np.zeros(len(known), np.int64), known, np.log10(probability[known]), states[0][known] if states else np.zeros(len(known)))]
         for n in range(1, self.order):
             level, below = self.levels[n], self.levels[n - 1]
             prior = level.types / below.types if below.types else 1.0
@@ -217,21 +220,26 @@ class Block:
                 failure[states[n - 1][some]] = states[n - 2][self.levels[n - 2].index[below.at[some]]]
             known = np.flatnonzero(level.count)
             at = level.at[known]
-            opens = begins[at] if n == 1 else np.zeros(len(at), bool)
-            history = np.where(opens, 0, below.index[at - 1])
-            seen = np.where(opens, texts, below.count[history])
-            lower = probability[below.index[at]]
-            probability = np.zeros(len(level.hashes))
-            probability[known] = (level.count[known] + prior * lower) / (seen + prior)
+            history = below.index[at - 1]
+            if n == 1:
+                opens = self.since[at] == 0
+                seen, from_ = np.where(opens, texts, below.count[history]), np.where(opens, 1, states[0][history])
+            else:
+                seen, from_ = below.count[history], states[n - 1][history]
+            log = np.log10((level.count[known] + prior * probability[below.index[at]]) / (seen + prior))
+            del history, seen
+            if n < self.order - 1:
+                probability = np.zeros(len(level.hashes))
+                probability[known] = 10.0**log
             target = states[n][known] if n < self.order - 1 else states[n - 1][below.index[at]]
-            arcs.append((np.where(opens, 1, states[n - 1][history]), one.index[at], np.log10(probability[known]), target))
+            arcs.append(sorted_arcs(from_, one.index[at], log, target))
         return Automaton(arcs, failure, left, 1 if self.order > 1 else 0, -np.log10(self.total + one.types + 1), self.order - 1)
 
     def scores(self) -> dict[str, np.ndarray]:
         one, here = self.levels[0], self.levels[0].index
         sums = lambda x: np.add.reduceat(x, self.first[:-1])
         base = np.log10((one.count + 1) / (self.total + one.types + 1))[here]
-        weights = self.automaton().walk(here.astype(np.int64), self.first)
+        weights = self.automaton().walk(here, self.first)
         n = len(self.first) - 1
         return {"n_tokens": np.diff(self.first), "n_known": sums((one.count[here] > 0).astype(np.int64)), "train_tokens": np.full(n, self.total, np.int64), "base_score": sums(base), "score": sums(weights)}
 

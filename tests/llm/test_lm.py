@@ -117,7 +117,7 @@ def test_base_columns_agree_with_sql(spark):
 def test_orders_blocks_and_edge_cases(spark, order):
     docs = documents(spark, TEXTS)
     source = [(i + 1, t, i % 3 != 1) for i, t in enumerate(TEXTS)]
-    for block_bytes in (9, 1 << 20):
+    for block_bytes in (700, 1 << 20):
         check(lm.score(docs, F.col("doc_id") % 3 != 2, order=order, block_bytes=block_bytes).collect(), brute(source, order))
     assert lm.score(docs.where("false"), F.lit(True), order=order).collect() == []
     none = lm.score(docs, F.lit(False), order=order).collect()
