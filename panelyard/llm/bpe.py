@@ -3,8 +3,8 @@
 A text falls into matches of the split pattern; each distinct match is encoded once. Its bytes become rows (word,
 position, token). A recursive query joins neighbouring tokens to the merge table (every way to cut a token into two
 tokens), takes each word's leftmost pair of the smallest rank, contracts it, and goes on with the words that changed, until none
-does. Decoding joins tokens to the vocabulary and aggregates their bytes in the order of positions. As in public
-rank-file tokenizers, a match that is a token itself is that token.
+does. Decoding knows nothing of the text: the ids of a document become rows (document, position, id), are joined to the vocabulary, and
+its bytes are aggregated in the order of positions. As in public rank-file tokenizers, a match that is a token itself is that token.
 
 Spark sees one pass without a shuffle. A task holds bounded caches of words that it has met, and hands DuckDB a bounded
 number of words at a time, in memory. A match longer than ``LONG`` bytes (no natural word; one merge a round would take
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from panelyard.llm import words
 
 LONG = 256
-#: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time.
-AT_ONCE, CACHED, PIECE = 20_000, 300_000, 1 << 22
+#: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time, tokens decoded in a query.
+AT_ONCE, CACHED, PIECE, TOKENS = 20_000, 300_000, 1 << 22, 1 << 18
 
 #: Rows come in the order of (word, position), and a step keeps the order of what it reads, so a neighbour is the next row;
 #: the order of everything returned is verified.
@@ -109,8 +109,6 @@ class Codec:
         # Ids of matches and of segments by their text: those used since the last turn, and those used before it.
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        # What the ids of a match decode to, for those that don't give back its bytes: none with a whole byte alphabet.
-        self.other: dict[str, bytes] = {}
 
     def _run(self, sql: str, tokens: np.ndarray, sizes: np.ndarray) -> pa.Table:
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -136,31 +134,40 @@ class Codec:
         final = final[np.argsort(word[final], kind="stable")]
         return tok[final], np.bincount(word[final], minlength=len(pieces))
 
-    def _coded(self, pieces: list[bytes], tokens: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[bytes, tuple[bytes, bytes]]]:
-        """(match, (ids, decoded bytes)) of matches whose tokens are known."""
-        got = self._run(DECODE, tokens, sizes)
-        hexed = got.column("decoded").take(pa.array(np.argsort(got.column("word").to_numpy()))).to_pylist()
-        ids, decoded, a, b = tokens.astype("<u4").tobytes(), bytes.fromhex("".join(hexed)), 0, 0
-        for piece, n, x in zip(pieces, (4 * sizes).tolist(), hexed):
-            to = b + len(x) // 2
-            yield piece, (ids[a : a + n], decoded[b:to])
-            a, b = a + n, to
-
-    def encode(self, pieces: list[bytes]) -> Iterator[tuple[bytes, tuple[bytes, bytes]]]:
-        """(match, (ids as little-endian 32-bit numbers, decoded bytes)) of each match, in any order."""
-        ranks = self.ranks
-        whole = [p for p in pieces if p in ranks]
-        long = [p for p in pieces if len(p) > LONG and p not in ranks]
-        rest = [p for p in pieces if len(p) <= LONG and p not in ranks]
-        for at in range(0, len(whole), AT_ONCE):
-            some = whole[at : at + AT_ONCE]
-            yield from self._coded(some, np.array([ranks[p] for p in some]), np.ones(len(some), np.int64))
-        for p in long:
-            tokens = np.array(contract(p, ranks))
-            yield from self._coded([p], tokens, np.array([len(tokens)]))
+    def encode(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """(match, ids as little-endian 32-bit numbers) of each match, in any order."""
+        ranks, rest = self.ranks, []
+        for p in pieces:
+            if (whole := ranks.get(p)) is not None:
+                yield p, whole.to_bytes(4, "little")
+            elif len(p) > LONG:
+                yield p, np.array(contract(p, ranks), "<u4").tobytes()
+            else:
+                rest.append(p)
         for at in range(0, len(rest), AT_ONCE):
             some = rest[at : at + AT_ONCE]
-            yield from self._coded(some, *self._contracted(some))
+            tokens, sizes = self._contracted(some)
+            ids, end = tokens.astype("<u4").tobytes(), 0
+            for p, n in zip(some, (4 * sizes).tolist()):
+                yield p, ids[end : end + n]
+                end += n
+
+    def decode(self, coded: list[bytes]) -> list[bytes]:
+        """The bytes of each list of ids; longer ones go through several queries."""
+        parts = [(doc, ids[at : at + 4 * TOKENS]) for doc, ids in enumerate(coded) for at in range(0, len(ids), 4 * TOKENS)]
+        out: list[list[bytes]] = [[] for _ in coded]
+        at = 0
+        while at < len(parts):
+            to, size = at, 0
+            while to < len(parts) and (to == at or size + len(parts[to][1]) <= 4 * TOKENS):
+                size += len(parts[to][1])
+                to += 1
+            tokens = np.frombuffer(b"".join([ids for _, ids in parts[at:to]]), "<u4")
+            got = self._run(DECODE, tokens, np.array([len(ids) // 4 for _, ids in parts[at:to]]))
+            for word, hexed in zip(got.column("word").to_pylist(), got.column("decoded").to_pylist()):
+                out[parts[at + word][0]].append((at + word, bytes.fromhex(hexed)))
+            at = to
+        return [x[0][1] if len(x) == 1 else b"".join([y for _, y in sorted(x)]) for x in out]
 
     def _learn(self, some: set[str]) -> None:
         """Brings the codes of segments, each a whole number of matches, into ``young``."""
@@ -179,27 +186,20 @@ class Codec:
                         young[p] = code
                     else:
                         new.add(p)
-        for p, (ids, decoded) in self.encode([p.encode() for p in new]):
-            young[name := p.decode()] = ids
-            if decoded != p:
-                self.other[name] = decoded
+        for p, ids in self.encode([p.encode() for p in new]):
+            young[p.decode()] = ids
         for x, parts in cut.items():
             if len(parts) != 1:
                 young[x] = b"".join([young[p] for p in parts])
 
-    def texts(self, some: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of whole texts."""
+    def texts(self, some: list[str]) -> list[bytes]:
+        """The ids of whole texts."""
         if len(self.young) > CACHED:
             self.young, self.old = {}, self.young
         cut = [segments(x) for x in some]
         self._learn(set().union(*cut))
         young = self.young
-        for x in cut:
-            ids = b"".join([young[s] for s in x])
-            if self.other:
-                yield ids, b"".join([self.other.get(p, p.encode()) for s in x for p in self.split.findall(s)])
-            else:  # each match was decoded and gave its own bytes
-                yield ids, "".join(x).encode()
+        return [b"".join([young[s] for s in x]) for x in cut]
 
 
 #: A single space between characters that are no white space under any definition begins a match in every text.
@@ -230,7 +230,7 @@ def codec(content: bytes, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def _map(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, row) -> DataFrame:
+def _map(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, schema: str, row, decoded: bool = True) -> DataFrame:
     with open(path, "rb") as file:  # on the driver; executors get its content
         shared = docs.sparkSession.sparkContext.broadcast((file.read(), pattern))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -239,7 +239,8 @@ def _map(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str, s
         own = codec(*shared.value)
         for batch in batches:
             for piece in words.pieces(batch, "text", PIECE):
-                found = [row(ids, decoded) for ids, decoded in own.texts([x or "" for x in piece.column("text").to_pylist()])]
+                coded = own.texts([x or "" for x in piece.column("text").to_pylist()])
+                found = [row(ids, text) for ids, text in zip(coded, own.decode(coded))] if decoded else [row(ids) for ids in coded]
                 columns = [pa.array(x) for x in zip(*found)]
                 yield pa.record_batch([piece.column("doc_id"), *columns], names=["doc_id", *names])
         words.give_back()
@@ -260,8 +261,8 @@ def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens)."""
-    return _map(docs, path, pattern, id_col, text_col, "n_tokens long", lambda ids, decoded: (len(ids) // 4,))
+    """(doc_id, n_tokens); nothing is decoded."""
+    return _map(docs, path, pattern, id_col, text_col, "n_tokens long", lambda ids: (len(ids) // 4,), decoded=False)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,27 @@ def test_odd_texts_and_edge_cases(spark):
     assert bytes(row.decoded).decode() == texts[10] and np.frombuffer(row.ids, "<u4").tolist() == LIBRARY.encode_ordinary(texts[10])
 
 
-def test_small_caches_change_nothing(monkeypatch):
+def test_small_caches_and_queries_change_nothing(monkeypatch):
     own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
     texts = [x or "" for x in ODD] * 2
-    monkeypatch.setattr(bpe, "CACHED", 7)
-    monkeypatch.setattr(bpe, "AT_ONCE", 3)
-    for text, (ids, decoded) in zip(texts, own.texts(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode_ordinary(text) and decoded == text.encode()
-    for piece in ("ab" * 700, "é" * 300, " " * 400, "abcdefgh" * 50):
-        assert bpe.contract(piece.encode(), RANKS) == LIBRARY.encode_ordinary(piece) or len(LIBRARY.encode_ordinary(piece)) > 0
+    for name, value in (("CACHED", 7), ("AT_ONCE", 3), ("TOKENS", 5)):
+        monkeypatch.setattr(bpe, name, value)
+    coded = own.texts(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in coded] == [LIBRARY.encode_ordinary(x) for x in texts]
+    assert own.decode(coded) == [x.encode() for x in texts] and own.decode([]) == []
+
+
+def test_decoding_reads_ids_alone():
+    own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
+    rng = np.random.default_rng(6)
+    lists = [rng.integers(0, len(RANKS), n).astype("<u4") for n in (0, 1, 7, 500)]
+    assert own.decode([x.tobytes() for x in lists]) == [LIBRARY.decode_bytes(x.tolist()) for x in lists]
+
+
+def test_long_matches_are_contracted_as_by_the_recursion():
+    own = bpe.Codec(open(PATH, "rb").read(), P.PATTERN)
+    for piece in (b"ab" * 120, "é".encode() * 100, b"abcdefgh" * 31, b"zzzzzzz" * 30):
+        tokens, sizes = own._contracted([piece])
+        assert bpe.contract(piece, RANKS) == tokens.tolist() == LIBRARY._encode_single_piece(piece) and sizes.tolist() == [len(tokens)]
+    for piece in (b"ab" * 700, "é".encode() * 300, b"abcdefgh" * 500):
+        assert bpe.contract(piece, RANKS) == LIBRARY._encode_single_piece(piece)
