@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelyard.llm import words as words_
-from panelyard.session import stored
+from panelyard.session import discard, shared_path, stored
 
 WORDS, SEED, HALF = 4, 42, 2
 #: Words of a ball that a bucket holds at once.
 AT_ONCE = 1 << 21
 _STEP = 1 << 14
+#: Parts of a node's neighbours.
+SLOTS = 64
 
 
 def fingerprint(text: bytes, n: int = WORDS) -> int:
@@ -177,25 +179,36 @@ def links(fps: DataFrame, n: int, half: int = HALF) -> DataFrame:
     return fps.select("fp").mapInArrow(send, "bucket int, fp long").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
+def _with_least(rows: DataFrame, u: str, v: str) -> DataFrame:
+    """``rows`` with m, the smallest ``v`` of their ``u``. A u with very many rows is dealt into ``SLOTS`` parts by v: each part has its smallest, these
+    are compared, and the result goes back to the parts, so no task gets more than a part."""
+    dealt = rows.withColumn("slot", F.pmod(F.xxhash64(v), F.lit(SLOTS)))
+    parts = dealt.groupBy(u, "slot").agg(F.min(v).alias("m"))
+    least = parts.groupBy(u).agg(F.min("m").alias("m"))
+    return dealt.join(parts.select(u, "slot").join(least, u), [u, "slot"]).drop("slot")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b) that isn't its component's smallest, by large and small stars.
 
-    Stars only ever ask for a node's smallest neighbour, a two-step aggregation; a node with very many neighbours is a
-    skewed join key, which adaptive execution splits.
+    Stars only ever ask for a node's smallest neighbour. Each round's table replaces that of the round before.
     """
-    state = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    spark = edges.sparkSession
+    at = shared_path(spark, "links")
+    edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().write.parquet(at)
     before = None
     while True:
+        state = spark.read.schema("u long, v long").parquet(at)
         mark = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if mark == before or not mark[0]:
             return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = mark
+        before, last, at = mark, at, shared_path(spark, "links")
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        state = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_least(large, "u", "v")
+        joined = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.where("v = m").select("u", "v"))
+        joined.distinct().write.parquet(at)
+        discard(spark, last)
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, half: int = HALF) -> DataFrame:
