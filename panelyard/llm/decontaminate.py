@@ -17,7 +17,7 @@ tables on either side are fine; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,30 +44,66 @@ def fingerprint_runs(h: np.ndarray, window: int = WINDOW, k: int = GRAM) -> np.n
     return low
 
 
+class Runs:
+    """All runs of ``n`` words of a benchmark: sorted hashes, and of each distinct run a place where it stands and the items that hold it."""
+
+    def __init__(self, h: np.ndarray, item: np.ndarray, starts: np.ndarray, n: int, same):
+        """h: word hashes of all items; ``starts``: words at which a run begins; ``same(a, b)``: whether the runs at two words are equal as text."""
+        self.n = n
+        keys = words.grams(h, n)[starts]
+        order = np.argsort(keys, kind="stable")
+        keys, at = keys[order], starts[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        head = np.flatnonzero(new)
+        # Two texts under one hash would be one chance in 2 ** 64 a pair; they are told apart all the same.
+        for i in np.flatnonzero(~new).tolist():
+            if not same(int(at[i - 1]), int(at[i]), n):
+                raise ValueError("two runs of the benchmark share a hash")
+        self.keys, self.place = keys[head], at[head]
+        pairs = np.unique((np.cumsum(new) - 1).astype(np.int64) << 32 | item[at])
+        self.items, self.first = (pairs & 0xFFFFFFFF).astype(np.int32), np.searchsorted(pairs >> 32, np.arange(len(head) + 1))
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """The number of the run with each hash; -1 without one."""
+        at = np.minimum(np.searchsorted(self.keys, x), len(self.keys) - 1)
+        return np.where(self.keys[at] == x, at, -1)
+
+
 class Benchmark:
-    """A block of the benchmark: fingerprints for the join, and the exact runs with the items that hold them."""
+    """A block of the benchmark: fingerprints for the join, and the exact runs with the items that hold them. All items are
+    hashed in one pass; of their text only the words are kept, one after the other, for exact comparison."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW, k: int = GRAM):
         self.window, self.k = window, k
-        self.runs: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            buf, offsets = words.utf8(pa.array([text], pa.string()))
-            s, e, _ = words.spans(buf, offsets, words.ALNUM)
-            found = [buf[a:b].tobytes() for a, b in zip(s, e)]
-            n = min(window, len(found))
-            for i in range(len(found) - n + 1) if n else ():
-                self.runs[n][b" ".join(found[i : i + n])].update([] if item is None else [item])
+        self.names = [item for item, _ in items]
+        parts = list(words.pieces(pa.record_batch([pa.array([t for _, t in items], pa.large_string())], names=["text"]), "text"))
+        hashed, sizes, text, ends = [], [], [], []
+        for part in parts:
+            buf, offsets = words.utf8(part.column("text"))
+            s, e, first = words.spans(buf, offsets, words.ALNUM)
+            hashed.append(words.hashes(buf, s, e))
+            sizes.append(np.diff(first))
+            text.append(b" ".join([buf[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist())]))
+            ends.append(np.cumsum(e - s + 1))
+        h = np.concatenate(hashed) if hashed else np.zeros(0, np.uint64)
+        size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.text = b"".join([t + b" " for t in text if t])
+        shift = np.cumsum([0] + [int(x[-1]) if len(x) else 0 for x in ends])
+        self.ends = np.concatenate([x + d for x, d in zip(ends, shift)] or [np.zeros(0, np.int64)])  # of each word, with the space after it
+        item = np.repeat(np.arange(len(size)), size)
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(item))  # words from here to the item's end
+        self.runs: dict[int, Runs] = {}
         self.members: dict[int, words.Members] = {}
-        for n, runs in self.runs.items():
-            keys = [fingerprint_runs(h, window, k) if n == window else words.grams(h, n) for h in map(self._hashes, runs)]
-            self.members[n] = words.Members(np.concatenate(keys))
-        self.runs = {n: dict(x) for n, x in self.runs.items()}
+        for n in np.unique(np.minimum(size[size > 0], window)).tolist():
+            starts = np.flatnonzero((np.minimum(size, window)[item] == n) & (left >= n))
+            prints = fingerprint_runs(h, window, k) if n == window else words.grams(h, n)
+            self.members[n] = words.Members(prints[starts])
+            self.runs[n] = Runs(h, item, starts, n, lambda a, b, n: self.run(a, n) == self.run(b, n))
 
-    @staticmethod
-    def _hashes(run: bytes) -> np.ndarray:
-        buf = np.frombuffer(run, dtype=np.uint8)
-        s, e, _ = words.spans(buf, np.array([0, len(buf)]), words.ALNUM)
-        return words.hashes(buf, s, e)
+    def run(self, at: int, n: int) -> bytes:
+        """The text of the run of ``n`` words that begins at a word."""
+        return self.text[self.ends[at - 1] if at else 0 : self.ends[at + n - 1] - 1]
 
     def match(self, column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[list, set]]]:
         """Words of each text; for texts with hits, the runs [from, to) of hit words and the items."""
@@ -80,41 +116,45 @@ class Benchmark:
             prints = fingerprint_runs(h, self.window, self.k) if n == self.window else words.grams(h, n)
             at = members.find(prints)
             at = at[of[at] == of[at + n - 1]]  # within one text
-            if not len(at):
-                continue
-            cut = np.flatnonzero(np.diff(at) > 1) + 1
-            for some in np.split(at, cut):
-                for part in np.split(some, np.flatnonzero(np.diff(of[some])) + 1):
-                    self._extend(n, part, of[part[0]], buf, s, e, first, hits)
+            if len(at):
+                self._extend(n, at, of, h, buf, s, e, first, hits)
         return np.diff(first), hits
 
-    def _extend(self, n: int, at: np.ndarray, doc: int, buf, s, e, first, hits) -> None:
-        """Compares the words around the meetings ``at`` (neighbouring starts) with the benchmark's runs."""
+    def _extend(self, n: int, at: np.ndarray, of: np.ndarray, h, buf, s, e, first, hits) -> None:
+        """Compares the runs at the meetings with those of the benchmark: by the hash of the whole run, then as text."""
         runs = self.runs[n]
-        low, high = int(at[0]), int(at[-1]) + n
-        found = [buf[a:b].tobytes() for a, b in zip(s[low:high].tolist(), e[low:high].tolist())]
-        ends = np.cumsum([len(x) + 1 for x in found]).tolist()
-        joined = b" ".join(found)
-        start = 0
-        for i in range(len(found) - n + 1):
-            if (items := runs.get(joined[start : ends[i + n - 1] - 1])) is not None:
-                spans_, all_items = hits.setdefault(int(doc), ([], set()))
-                a = low + i - int(first[doc])
-                if spans_ and spans_[-1][1] >= a >= spans_[-1][0]:
-                    spans_[-1][1] = max(spans_[-1][1], a + n)
-                else:
-                    spans_.append([a, a + n])
-                all_items |= items
-            start = ends[i]
+        which = runs.find(words.grams_at(h, at, n))
+        for i, r in zip(at[which >= 0].tolist(), which[which >= 0].tolist()):
+            if b" ".join([buf[a:b].tobytes() for a, b in zip(s[i : i + n].tolist(), e[i : i + n].tolist())]) != self.run(int(runs.place[r]), n):
+                continue
+            doc = int(of[i])
+            spans_, all_items = hits.setdefault(doc, ([], set()))
+            a = i - int(first[doc])
+            if spans_ and spans_[-1][1] >= a >= spans_[-1][0]:
+                spans_[-1][1] = max(spans_[-1][1], a + n)
+            else:
+                spans_.append([a, a + n])
+            all_items.update(name for x in runs.items[runs.first[r] : runs.first[r + 1]].tolist() if (name := self.names[x]) is not None)
+
+
+_held: dict[str, Benchmark] = {}
+
+
+def _benchmark(name: str, items: list[tuple], window: int, k: int) -> Benchmark:
+    """The index of a block, built once in a worker; ``name`` is the block's own."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = Benchmark(items, window, k)
+    return _held[name]
 
 
 def _matched(docs: DataFrame, block: list[tuple], window: int, k: int) -> DataFrame:
     """doc_id, digest of the text, n_words, runs, items for each row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+    shared, name = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Benchmark(shared.value, window, k)
+        own = _benchmark(name, shared.value, window, k)
         for batch in batches:
             for piece in words.pieces(batch, "text"):
                 n, hits = own.match(piece.column("text"))
@@ -177,12 +217,10 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         found = contamination(docs.select(digest.alias("digest"), docs[text_col].alias("text")), benchmark, "digest", "text", window=window, k=k, most_bytes=most_bytes)
         bad = found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("doc_id").alias("bad")).distinct()
         return docs.join(bad, digest == bad["bad"], "left_anti")
-    shared, held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), []
+    shared, name = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()]), uuid.uuid4().hex
 
     def clean(column: pa.Array) -> np.ndarray:
-        if not held:
-            held.append(Benchmark(shared.value, window, k))
-        n, hits = held[0].match(column)
+        n, hits = _benchmark(name, shared.value, window, k).match(column)
         keep = np.ones(len(column), dtype=bool)
         for i, (runs, _) in hits.items():
             hit = np.zeros(n[i], dtype=bool)

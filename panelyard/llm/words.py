@@ -158,6 +158,14 @@ def grams(h: np.ndarray, n: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray
     return mix(acc)
 
 
+def grams_at(h: np.ndarray, at: np.ndarray, n: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """What ``grams`` gives for the runs that start at ``at``."""
+    acc, f = h[at], np.uint64(factor | 1)
+    for j in range(1, n):
+        acc = acc * f + h[at + j]
+    return mix(acc)
+
+
 class Members:
     """Whether a number is among given 64-bit numbers: one probe of a bit table, then an exact look-up for few."""
 

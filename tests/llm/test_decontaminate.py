@@ -1,5 +1,10 @@
 import random
 import re
+import time
+
+import numpy as np
+import pyarrow as pa
+import pytest
 
 from panelyard.llm import decontaminate
 from panelyard.session import shared_path
@@ -55,6 +60,24 @@ def test_hits_agree_with_brute_force_in_one_block_and_in_several(spark):
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want
 
 
+def test_a_large_block_is_indexed_in_seconds():
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"word{i}" for i in range(5000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 5000, 400)]) for _ in range(1200)]  # 4 MB
+    passage = " ".join(vocabulary[:30])
+    began = time.process_time()
+    own = decontaminate.Benchmark([(str(i), f"{t} {passage}" if i % 3 == 0 else t) for i, t in enumerate(texts)])
+    assert time.process_time() - began < 20
+    n, hits = own.match(pa.array([f"x {passage.upper()} y", texts[7][:200], None]))
+    assert n[2] == 0 and hits[0][0] == [[1, 31]] and len(hits[0][1]) == 400 and hits[1][1] == {"7"}
+
+
+def test_runs_of_one_hash_are_compared_as_text(monkeypatch):
+    monkeypatch.setattr(decontaminate.words, "grams", lambda h, n, *_: np.zeros(max(0, len(h) - n + 1), np.uint64))
+    with pytest.raises(ValueError, match="share a hash"):
+        decontaminate.Benchmark([("1", "a b c"), ("2", "d e f")])
+
+
 def test_edge_cases(spark):
     texts, items = case()
     docs, bench = documents(spark, texts + ["w1 w2 w3 " * 30000]), spark.createDataFrame(items, "item_id long, text string")
