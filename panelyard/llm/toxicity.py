@@ -1,11 +1,12 @@
 """Toxicity by weak supervision.
 
-Voters are mined from labelled rows: whole words (the lexicon) and word beginnings (the patterns) that go with label 1,
-each voting "toxic" on texts that hold it and abstaining on others; one voter calls a text without any of them clean. A
-generative label model, a latent class with one accuracy per voter and class, estimates by EM how often each voter is
-right, and from the posteriors the correlations between voters that class does not explain; a voter counts for one over the
-sum of its squared correlations, so that voters that say the same thing count once. The given label is one more voter, of known accuracy. The
-posteriors are the training labels of a linear classifier on the presence of words and word beginnings, which scores all texts.
+Voters are mined from labelled rows: whole words (the lexicon) and word beginnings (the patterns) that go with label 1 vote toxic where
+they occur, those that go with label 0 vote clean, and counts of the first kind vote both ways: none of them, more than one,
+more than three. The given label is a voter like the others. A generative label model, a latent class with two rates per voter
+(how often it fires on clean and on toxic texts), estimates all of them by EM, the label's too, which only starts it. From the posteriors
+come the correlations between voters that the class doesn't explain; a voter counts for one over the sum of its
+squared correlations, so that voters that say the same thing count once. The posteriors, not the labels, train a
+linear classifier on the presence of words and word beginnings, which scores all texts.
 
 Mining and fitting happen on the driver, on at most ``SAMPLE_ROWS`` labelled texts per label and ``SAMPLE_BYTES`` of toxic
 text, half as much of clean, chosen by a hash of doc_id. The sample's ids go to the documents as a broadcast of at most twice ``SAMPLE_ROWS`` rows.
@@ -33,8 +34,9 @@ from panelyard.llm.lm import held_out
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 8 << 20
 #: Lengths in bytes of word beginnings.
 BEGINNINGS = (4, 5, 6)
-MOST_FEATURES, MOST_VOTERS, LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 1000, 200, 3, 2.0, 5.0
-ROUNDS, EPOCHS, RATE, DECAY, LABEL_ACCURACY = 30, 300, 0.3, 1e-4, 0.98
+MOST_FEATURES, MOST_VOTERS, MOST_CLEAN, LEAST_DOCS, LEAST_ODDS, LEAST_SURE, VOTER_SURE = 1000, 200, 100, 3, 2.0, 5.0, 12.0
+#: LABEL_START: what the label is taken for in the first round.
+ROUNDS, EPOCHS, RATE, DECAY, LABEL_START = 30, 300, 0.3, 1e-4, 0.98
 LETTERS = words.table((0x61, 0x7A), (0x80, 0xFF))
 
 
@@ -70,11 +72,10 @@ class Model:
         self.members = words.Members(self.features, 16)
 
 
-def posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def posteriors(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """P(toxic) of each text by a latent class model over 0/1 ``votes``; the voters' rates (clean, toxic) and the weight that
-    their correlations leave to each. The given label is a voter of known accuracy."""
-    given = np.where(labels == 1, 1, -1) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    p = 1 / (1 + np.exp(-given))
+    their correlations leave to each. ``start``: 0/1, which texts are first taken for toxic; only the first round knows it."""
+    p = np.where(start == 1, LABEL_START, 1 - LABEL_START)
     weight = np.ones(votes.shape[1])
     for turn in range(rounds):
         share = np.clip(p.mean(), 1e-3, 1 - 1e-3)
@@ -85,12 +86,12 @@ def posteriors(votes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS) -> t
             norm = np.sqrt((rest**2).sum(0)) + 1e-9
             weight = 1 / (((rest.T @ rest) / np.outer(norm, norm)) ** 2).sum(axis=1).clip(1, None)
         yes, no = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
-        p = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + given + (votes * yes + (1 - votes) * no) @ weight, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + (votes * yes + (1 - votes) * no) @ weight, -40, 40)))
     return p, rates, weight
 
 
-def fit(samples: list[tuple[str | None, int]]) -> Model:
-    """A classifier of (text, label) samples."""
+def fit(samples: list[tuple[str | None, int]], report: dict | None = None) -> Model:
+    """A classifier of (text, label) samples; ``report`` gets how many voters there are and how often the label model departs from the labels."""
     y = np.array([int(label) for _, label in samples])
     if not len(y) or y.min() == y.max():
         rate = float(y.mean()) if len(y) else 0.0
@@ -107,7 +108,8 @@ def fit(samples: list[tuple[str | None, int]]) -> Model:
     sure = np.sign(odds) * (toxic * np.log(np.maximum(toxic, 1e-9) / np.maximum(n_toxic * rate, 1e-9)) + clean * np.log(np.maximum(clean, 1e-9) / np.maximum(n_clean * rate, 1e-9)))
     good = np.flatnonzero((toxic >= LEAST_DOCS) & (odds > LEAST_ODDS) & (sure > LEAST_SURE))
     chosen = np.sort(good[np.argsort(-sure[good], kind="stable")[:MOST_FEATURES]])
-    voters = good[np.argsort(-sure[good], kind="stable")[:MOST_VOTERS]]
+    able = good[sure[good] > VOTER_SURE]
+    voters = able[np.argsort(-sure[able], kind="stable")[:MOST_VOTERS]]
 
     def table(some: np.ndarray) -> np.ndarray:
         place = np.full(len(types), -1)
@@ -117,9 +119,14 @@ def fit(samples: list[tuple[str | None, int]]) -> Model:
         out[doc[inside], place[kind[inside]]] = 1
         return out
 
-    votes = table(voters)
-    votes = np.column_stack([votes, votes.sum(axis=1) == 0])  # the voter for clean
+    against = np.flatnonzero((clean >= LEAST_DOCS) & (odds < 0) & (-sure > VOTER_SURE))
+    against = against[np.argsort(-np.abs(sure[against]), kind="stable")[:MOST_CLEAN]]
+    signs = table(voters)
+    n_signs = signs.sum(axis=1)
+    votes = np.column_stack([signs, table(against), n_signs == 0, n_signs > 1, n_signs > 3, y]).astype(np.float32)
     target, *_ = posteriors(votes, y)
+    if report is not None:
+        report |= {"texts": len(y), "voters": votes.shape[1], "turned_clean": int(((target < 0.5) & (y == 1)).sum()), "turned_toxic": int(((target >= 0.5) & (y == 0)).sum())}
     x = table(chosen)
     weights, bias = np.zeros(len(chosen), np.float32), 0.0
     squares, bias_square = np.full(len(chosen), 1e-8, np.float32), 1e-8
