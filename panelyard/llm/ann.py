@@ -10,6 +10,7 @@ reranked by the exact measure in double precision. There is no cap on candidates
 Projections are scaled, and the target distance is taken, on a bounded sample of ``SAMPLE`` rows; every row is indexed. The
 directory of buckets has ``CUTS ** k`` entries a table, ``CUTS ** MOST_K`` at most, so it can be broadcast. Buckets are
 packed into shards of bounded rows, and a bucket with more rows than that is split into several shards, which a query then visits all.
+Rows go to their shard once; a shard is copied only for each further ``QUERY_ROWS`` queries that visit it, so what is moved follows the visits.
 Rows with equal vectors are one entry that keeps the ``top + 1`` smallest ids: no others can be among the nearest.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id;
@@ -30,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelyard.llm import words
 from panelyard.session import stored
 
 TOP, TABLES, MASS, CUTS, WIDTH, MOST_K = 20, 2, 0.95, 4, 0.8, 8
-SAMPLE, BUCKET_ROWS, SHARD_ROWS, QUERY_ROWS = 2048, 16, 32_768, 4096
+SAMPLE, BUCKET_ROWS, SHARD_ROWS, QUERY_ROWS = 2048, 16, 32_768, 16_384
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -196,7 +198,6 @@ def _search(own: DataFrame, queries: DataFrame, index: Index, d: int, dtype: str
         else:
             room -= int(rows[b])
     directory = spark.sparkContext.broadcast((rows, splits, first_shard))
-    query_parts = max(1, math.ceil(queries.count() / QUERY_ROWS))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A query goes to each shard that holds buckets on its way, with their list."""
@@ -221,7 +222,14 @@ def _search(own: DataFrame, queries: DataFrame, index: Index, d: int, dtype: str
                         who.append(i)
                         visit.append(cells[some].tobytes())
             at = pa.array(who, pa.int64())
-            yield pa.record_batch([pa.array(to, pa.int64()), batch.column("part").take(at), batch.column("vec_id").take(at), batch.column("vector").take(at), pa.array(visit, pa.binary())], names=["shard", "part", "query_id", "vector", "cells"])
+            yield pa.record_batch([pa.array(to, pa.int64()), batch.column("vec_id").take(at), batch.column("vector").take(at), pa.array(visit, pa.binary())], names=["shard", "query_id", "vector", "cells"])
+
+    asked = stored(queries.select("vec_id", "vector").mapInArrow(send, "shard long, query_id long, vector binary, cells binary"), "asked")
+    # A shard that more queries visit than a task should hold is copied: once for each ``QUERY_ROWS`` visits, not for each part of all queries.
+    visits = np.zeros(int(first_shard.max(initial=0)) + int(splits.max(initial=1)) + 1, np.int64)
+    for found, n in asked.groupBy("shard").count().collect():  # at most as many as shards
+        visits[found] = n
+    copies = spark.sparkContext.broadcast(np.maximum(1, -(-visits // QUERY_ROWS)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, splits_, first_ = directory.value
@@ -229,8 +237,15 @@ def _search(own: DataFrame, queries: DataFrame, index: Index, d: int, dtype: str
             bucket = batch.column("bucket").to_numpy()
             salt = np.array([zlib.crc32(v) for v in batch.column("vector").to_pylist()], np.int64) if (splits_[bucket] > 1).any() else np.zeros(len(bucket), np.int64)
             shard = first_[bucket] + np.where(splits_[bucket] > 1, np.mod(salt, splits_[bucket]), 0)
-            for part in range(query_parts):
-                yield pa.record_batch([pa.array(shard), pa.array(np.full(len(bucket), part, np.int32)), batch.column("bucket"), batch.column("vector"), batch.column("ids")], names=["shard", "part", "bucket", "vector", "ids"])
+            for part in range(int(copies.value[shard].max(initial=0))):
+                some = pa.array(np.flatnonzero(copies.value[shard] > part))
+                columns = [x.take(some) for x in (pa.array(shard), batch.column("bucket"), batch.column("vector"), batch.column("ids"))]
+                yield pa.record_batch([columns[0], pa.array(np.full(len(some), part, np.int32)), *columns[1:]], names=["shard", "part", "bucket", "vector", "ids"])
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            to = words.mix(batch.column("query_id").to_numpy().astype(np.uint64)) % copies.value[batch.column("shard").to_numpy()].astype(np.uint64)
+            yield pa.record_batch([batch.column("shard"), pa.array(to.astype(np.int32)), *batch.columns[1:]], names=["shard", "part", "query_id", "vector", "cells"])
 
     def scan(key: tuple, points: pa.Table, asked: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -276,9 +291,8 @@ def _search(own: DataFrame, queries: DataFrame, index: Index, d: int, dtype: str
                 out_s.append(score[best])
         return pa.table({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_v).astype(np.int64), "score": np.concatenate(out_s)})
 
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(query_parts)).cast("int").alias("part")
     left = indexed.mapInArrow(deal, "shard long, part int, bucket long, vector binary, ids array<bigint>")
-    right = queries.select("vec_id", "vector", part).mapInArrow(send, "shard long, part int, query_id long, vector binary, cells binary")
+    right = asked.mapInArrow(part, "shard long, part int, query_id long, vector binary, cells binary")
     return left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 

@@ -50,6 +50,7 @@ def test_recall(spark, sf):
 
 def test_everything_visited_is_exact_with_copies_ties_and_lengths(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 8)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 3)
     rng = np.random.default_rng(0)
     base = rng.integers(-2, 3, size=(25, 4)).astype(np.float32)
     rows = [(i, base[rng.integers(25)]) for i in range(120)] + [(200 + i, base[0]) for i in range(80)] + [(1000 + i, rng.normal(size=3).astype(np.float32)) for i in range(7)]
