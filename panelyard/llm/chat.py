@@ -9,7 +9,8 @@ removal is its exact inverse; a conversation that still differed would raise.
 Everything is a built-in function on one row per conversation; the only shuffle gathers the turns of a conversation.
 
 Defined cases: a null text or role is empty; turns go by turn number (null first), ties by role and text, repeated rows
-are kept; a null conv_id is a conversation of its own; no rows give no rows; further columns are ignored.
+are kept; rows with a null conv_id are one conversation of their own; no rows give no rows; further columns are ignored. A conversation is one
+text, whose digests are taken of the whole, so all its turns meet in one row: its length is bounded by what a string and an array hold (2 GB).
 """
 
 from __future__ import annotations
