@@ -6,13 +6,16 @@ of raw rows. Queries then run over all of it.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelyard.checks.evaluation import r, rank_sql, tidy
 from panelyard.functions.scalar import security_id
+from panelyard.index import portfolio as P
 from panelyard.index import research as I
 from panelyard.sources import cleaning as C
-from panelyard.sources import panels
+from panelyard.session import shared_path
+from panelyard.sources import panels, store
 
 BARS = panels.bars_sql()
 #: The same text serves both engines.
@@ -159,10 +162,39 @@ def ranked(s, sf):
 
 RANKED_SQL = f"{SCORES_SQL}, {MEMBERS_SQL}, ranked as (select date, code, score, row_number() over (partition by date order by score desc, code) as rank, count(*) over (partition by date) as universe_size from scores join members using (date, code))"
 SMOOTH_SQL = f"""with {BARS}, {RANKED_SQL}, dd as (select date, row_number() over (order by date) n_ from (select distinct date from ranked)),
-b as (select date, code, score, n_, case when universe_size > 1 then 1 - (rank - 1) / (universe_size - 1) else 1 end own from ranked join dd using (date)),
+b as (select date, code, score, n_, {rank_sql('score', 'partition by date')} / count(*) over (partition by date) own from ranked join dd using (date)),
 j as (select a.date, a.code, a.score, (0.5 * a.own + coalesce(0.3 * p.own, 0) + coalesce(0.2 * q.own, 0)) / (0.5 + case when p.own is not null then 0.3 else 0 end + case when q.own is not null then 0.2 else 0 end) smoothed from b a
   left join b p on p.code = a.code and p.n_ = a.n_ - 1 left join b q on q.code = a.code and q.n_ = a.n_ - 2)
 select date, code, {r('score')}, {r('smoothed')} from j"""
+STYLES = ["x", "y"]
+ATTRIBUTION = " union all ".join(f"select date, '{f}' as factor, {f} * g{f} as c from l join g using (date)" for f in FACTORS)
+HISTORY = "date, case when code % 2 = 0 then 'csi300' else 'csi500' end as index_key, lpad(cast(code as string), 6, '0') as code, volume as benchmark_weight"
+
+
+def history(s, sf):
+    """Index weights in long form, written as text and read back with their types."""
+    path = shared_path(s, "weights") + ".csv"
+    store.write(bars(s, sf).selectExpr(*_split(HISTORY)), path)
+    return store.read(s, path, "date date, index_key string, code string, benchmark_weight double")
+
+
+def csv_bars(s, sf):
+    path = shared_path(s, "bars") + ".csv.gz"
+    store.write(bars(s, sf).select("date", "code", "open", "close"), path)
+    return store.scan_csv(s, path, "date date, code long, open double, close double", "1995-02-01", "1997-01-31", [1, 3, 5, 8])
+
+
+def yearly(s, sf):
+    """Exposures in folders by year: written, some years replaced, and read with both filters."""
+    path = shared_path(s, "exposures")
+    rows = exposures(s, sf).withColumn("year", F.year("date"))
+    store.write(rows, path, ("year",))
+    store.write(rows.where("year = 1996").withColumn("x", F.col("x") + 1), path, ("year",))
+    return store.exposures(s, path, "1995-06-01", "1996-08-31")
+
+
+def contributions(s, sf):
+    return I.attribution(active(s, sf), daily_gains(s, sf), FACTORS)
 
 
 def asof(s, sf, strict):
@@ -186,6 +218,8 @@ def all_checks() -> dict:
       c as (select *, sum(case when raw_return is not null then weight else 0 end) over (partition by date) coverage, sum(case when raw_return is not null then weight * raw_return else 0 end) over (partition by date) gain from w),
       e as (select *, case when coverage >= 0.95 then gain / coverage end benchmark_return, raw_return - case when coverage >= 0.95 then gain / coverage end ex from c), f as (select *, case when ex is not null and tradable then ex end chosen from e)
       select date, code, {r('weight')}, entry_date, exit_date, {r('entry_close')}, {r('exit_close')}, {r('case when chosen is not null then raw_return end', 'raw_return')}, tradable, {r('coverage')}, {r('benchmark_return')}, {r('chosen', 'excess')}, {r(rank_sql('chosen', 'partition by date') + ' / count(chosen) over (partition by date)', 'rank')} from f"""
+    attributed = f"with {BARS}, {EXPOSURE_SQL}, {SCORES_SQL}, {MEMBERS_SQL}, {ACTIVE}, g as (select date, avg(x) / 100 gx, avg(y) / 100 gy, avg(z) / 100 gz from expo group by date), l as (select date, lag(x) over w x, lag(y) over w y, lag(z) over w z from act window w as (order by date)), u as ({ATTRIBUTION})"
+    attributed_days = f"{attributed}, {NAV_SQL}, {_R}, t as (select date, sum(case when factor in ('x', 'y') then c else 0 end) style, sum(case when factor = 'z' then c else 0 end) industry, any_value(r - b) realised from u join rr using (date) where c is not null group by date)"
     return {
         "clean_daily": (lambda s, sf: tidy(C.clean_daily(raw(s, sf), ("version",))), CLEAN_SQL),
         "clean_minutes": (lambda s, sf: tidy(C.clean_minutes(hourly(s, sf), "seq").select("date", "code", "datetime", "seq", "open", "high", "low", "close", "vol", "amount")), MINUTE_CLEAN_SQL),
@@ -208,9 +242,9 @@ def all_checks() -> dict:
         "index_as_of_strict": (lambda s, sf: tidy(asof(s, sf, True)), asof_sql(">")),
         "index_input": (lambda s, sf: tidy(ranked(s, sf)), f"with {BARS}, {RANKED_SQL} select date, code, {r('score')}, rank, universe_size from ranked"),
         "index_universe_coverage": (lambda s, sf: tidy(I.universe_coverage(scores(s, sf), members(s, sf))), f"with {BARS}, {MEMBERS_SQL}, m as (select date, count(distinct code) components from members group by date), p as (select date, count(distinct code) predictions from bars group by date) select date, components, predictions, {r('predictions / components', 'coverage')} from m full join p using (date)"),
-        "index_smoothed_ranks": (lambda s, sf: tidy(I.smoothed_ranks(ranked(s, sf), (0.5, 0.3, 0.2)).select("date", "code", "score", "smoothed")), SMOOTH_SQL),
-        "index_portfolio_path": (lambda s, sf: I.portfolio_path(I.smoothed_ranks(ranked(s, sf), (0.5, 0.3, 0.2)), 10, 20, 0.3, 2), None),
-        "index_optimised_weights": (lambda s, sf: I.optimise_dates(_problem(s, sf)), None),
+        "index_smoothed_ranks": (lambda s, sf: tidy(P.smoothed_ranks(ranked(s, sf), (0.5, 0.3, 0.2)).select("date", "code", "score", "smoothed")), SMOOTH_SQL),
+        "index_portfolio_path": (lambda s, sf: P.portfolio_path(P.smoothed_ranks(ranked(s, sf), (0.5, 0.3, 0.2)), 10, 20, 0.3, 2), None),
+        "index_optimised_weights": (lambda s, sf: P.optimise_dates(_problem(s, sf)), None),
         "index_backtest": (lambda s, sf: tidy(I.backtest(nav(s, sf), trades(s, sf)).withColumns({"notional": F.col("notional") / 1e6, "costs": F.col("costs") / 1e6})), BACKTEST_SQL),
         "index_years": (lambda s, sf: tidy(I.period_table(nav(s, sf), F.year("date").cast("string"))), period_sql("year(date)::varchar")),
         "index_months": (lambda s, sf: tidy(I.period_table(nav(s, sf), F.date_format("date", "yyyy-MM"))), period_sql("strftime(date, '%Y-%m')")),
@@ -218,16 +252,20 @@ def all_checks() -> dict:
         "index_fee_audit": (lambda s, sf: tidy(I.fee_audit(trades(s, sf))), f"with {TRADES_SQL}, f as (select cost / (quantity * price) as rate from trades where quantity * price <> 0) select {r('quantile_cont(rate, 0.1)', 'p10')}, {r('quantile_cont(rate, 0.5)', 'median')}, {r('quantile_cont(rate, 0.9)', 'p90')}, count(rate) n from f"),
         "index_factor_returns": (lambda s, sf: tidy(I.factor_returns(exposures(s, sf), returns(s, sf), ["x", "y"])), REGRESSION_SQL),
         "index_active_exposure": (lambda s, sf: tidy(active(s, sf)), f"with {BARS}, {EXPOSURE_SQL}, {SCORES_SQL}, {MEMBERS_SQL}, {ACTIVE} select date, {r('pc', 'portfolio_coverage')}, {r('bc', 'benchmark_coverage')}, {r('x')}, {r('y')}, {r('z')} from act"),
-        "index_attribution": (lambda s, sf: tidy(I.attribution(active(s, sf), daily_gains(s, sf), FACTORS)), f"with {BARS}, {EXPOSURE_SQL}, {SCORES_SQL}, {MEMBERS_SQL}, {ACTIVE}, g as (select date, avg(x) / 100 gx, avg(y) / 100 gy, avg(z) / 100 gz from expo group by date), l as (select date, lag(x) over w x, lag(y) over w y, lag(z) over w z from act window w as (order by date)), u as (" + " union all ".join(f"select date, '{f}' as factor, {f} * g{f} as c from l join g using (date)" for f in FACTORS) + f") select date, factor, {r('c', 'contribution')} from u where c is not null"),
+        "index_attribution": (lambda s, sf: tidy(contributions(s, sf)), f"{attributed} select date, factor, {r('c', 'contribution')} from u where c is not null"),
+        "index_attribution_days": (lambda s, sf: tidy(I.attribution_days(contributions(s, sf), nav(s, sf), STYLES)), f"{attributed_days} select date, {r('style')}, {r('industry')}, {r('style + industry', 'factors')}, {r('realised')}, {r('realised - style - industry', 'residual')} from t"),
+        "index_attribution_totals": (lambda s, sf: tidy(I.attribution_totals(I.attribution_days(contributions(s, sf), nav(s, sf), STYLES))), f"{attributed_days} select count(*) as \"days\", min(date) as first, max(date) as last, {r('sum(style)', 'style')}, {r('sum(industry)', 'industry')}, {r('sum(style + industry)', 'factors')}, {r('sum(realised)', 'realised')}, {r('sum(realised - style - industry)', 'residual')} from t"),
+        "index_attribution_summary": (lambda s, sf: tidy(I.attribution_summary(contributions(s, sf), STYLES)), f"{attributed} select factor, case when factor in ('x', 'y') then 'style' else 'industry' end as kind, {r('sum(c)', 'cumulative')}, {r('avg(c) * 252', 'annualised')}, {r('stddev_samp(c)', 'volatility')} from u where c is not null group by factor"),
+        "index_exposure_summary": (lambda s, sf: tidy(I.exposure_summary(active(s, sf), FACTORS, STYLES)), f"with {BARS}, {EXPOSURE_SQL}, {SCORES_SQL}, {MEMBERS_SQL}, {ACTIVE}, u as (" + " union all ".join(f"select date, '{f}' as factor, {f} v from act" for f in FACTORS) + f") select factor, case when factor in ('x', 'y') then 'style' else 'industry' end as kind, {r('avg(v)', 'mean')}, {r('avg(abs(v))', 'mean_abs')}, {r('stddev_samp(v)', 'std')}, {r('min(v)', 'least')}, {r('max(v)', 'most')}, {r('arg_max(v, date)', 'latest')}, {r('avg((v > 0)::int)', 'positive')} from u group by factor"),
+        "index_weight_history": (lambda s, sf: tidy(P.weight_history(history(s, sf), "csi300", "1994-01-01", "1996-12-31")), f"with {BARS}, h as (select date, lpad(code::varchar, 6, '0') c, volume from bars where code % 2 = 0 and date between date '1994-01-01' and date '1996-12-31') select date, c || case when c[1] in ('5', '6', '9') then '.XSHG' when c[1] in ('4', '8') then '.XBSE' else '.XSHE' end as code, {r('volume / sum(volume) over (partition by date)', 'benchmark_weight')} from h"),
+        "source_csv_scan": (lambda s, sf: tidy(csv_bars(s, sf)), f"with {BARS} select date, code, {r('open')}, {r('close')} from bars where date between date '1995-02-01' and date '1997-01-31' and code in (1, 3, 5, 8)"),
+        "source_partitioned": (lambda s, sf: tidy(yearly(s, sf)), f"with {BARS}, {EXPOSURE_SQL} select date, code, {r('case when year(date) = 1996 then x + 1 else x end', 'x')}, {r('y')}, {r('z')}, year(date)::bigint as year from expo where date between date '1995-06-01' and date '1996-08-31'"),
         "index_window_diagnostics": (lambda s, sf: tidy(I.window_diagnostics(panels.bars(s, sf, True).select("date", "code", "close", F.month("date").cast("double").alias("flat")), ["close", "flat"])), f"with {panels.bars_sql(True)}, l as (select date, 'close' factor, close v from bars union all select date, 'flat', month(date)::double from bars), d as (select factor, date, stddev_pop(v) s, count(v) n, count(*) m from l group by all) select factor, sum((coalesce(s, 0) > 1e-12)::int)::bigint varying_dates, sum((coalesce(s, 0) <= 1e-12)::int)::bigint constant_dates, {r('sum(n) / sum(m)', 'coverage')} from d group by factor"),
     }
 
 
 def _problem(s, sf):
-    from pyspark.sql import Window
-
-    day = Window.partitionBy("date")
-    base = weights(s, sf).withColumn("benchmark", F.col("weight") / F.sum("weight").over(day)).join(scores(s, sf), ["date", "code"])
-    return base.select("date", "code", (F.col("score") - F.avg("score").over(day)).alias("alpha"), "benchmark", (F.lit(1.0) / F.count(F.lit(1)).over(day)).alias("current"))
-
-
+    """Smoothed ranks against the benchmark; what is held is an equal weight of every seventh name."""
+    held = F.when(F.col("code") % 7 == 0, 0.98 / F.sum((F.col("code") % 7 == 0).cast("int")).over(Window.partitionBy("date"))).otherwise(0.0)
+    smoothed = P.smoothed_ranks(ranked(s, sf), (0.5, 0.3, 0.2)).join(weights(s, sf), ["date", "code"])
+    return smoothed.select("date", "code", F.col("smoothed").alias("score"), F.col("weight").alias("benchmark"), held.alias("current"))

@@ -22,6 +22,16 @@ def read(spark: SparkSession, path: str, schema: StructType | str | None = None)
     return reader.json(path) if kind == "json" else reader.orc(path) if kind == "orc" else reader.parquet(path)
 
 
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str, start=None, end=None, codes: Sequence | None = None) -> DataFrame:
+    """Rows of a CSV table by date (bounds included) and code; the filters go to the scan, which drops rows before it has read their other columns."""
+    rows = spark.read.schema(schema).csv(path, header=True)
+    if start is not None:
+        rows = rows.where(F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        rows = rows.where(F.col("date") <= F.lit(end).cast("date"))
+    return rows if codes is None else rows.where(F.col("code").isin(*codes))
+
+
 def write(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     """``df`` by the suffix of ``path``; ``by``: partition columns, of which only those present are replaced."""
     kind = path.removesuffix(".gz").rpartition(".")[2]

@@ -1,11 +1,13 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelyard.evaluation import metrics as M
 from panelyard.functions.scalar import security_id
+from panelyard.index import portfolio as P
 from panelyard.index import research as I
 from panelyard.plans.nodes import DAILY, Language, parse
 from panelyard.search import fusion, policy
@@ -58,10 +60,10 @@ def test_noise_is_repeatable_and_small(spark):
 
 def test_targets_respect_buffer_youth_and_cap():
     ranked = list("ABCDEFGH")
-    assert I.controlled_targets(ranked, list("GH"), {"G": 9, "H": 0}, 2, 3, 1.0, 2) == ["H", "A"]
-    assert I.controlled_targets(ranked, list("CD"), {"C": 9, "D": 9}, 2, 4, 1.0, 2) == ["C", "D"]
-    assert I.controlled_targets(ranked, list("EFGH"), dict.fromkeys("EFGH", 9), 4, 1, 0.25, 2) == ["E", "F", "G", "A"]
-    assert I.controlled_targets(ranked, [], {}, 3, 5, 0.5, 1) == ["A", "B", "C"]
+    assert P.controlled_targets(ranked, list("GH"), {"G": 9, "H": 0}, 2, 3, 1.0, 2) == ["H", "A"]
+    assert P.controlled_targets(ranked, list("CD"), {"C": 9, "D": 9}, 2, 4, 1.0, 2) == ["C", "D"]
+    assert P.controlled_targets(ranked, list("EFGH"), dict.fromkeys("EFGH", 9), 4, 1, 0.25, 2) == ["E", "F", "G", "A"]
+    assert P.controlled_targets(ranked, [], {}, 3, 5, 0.5, 1) == ["A", "B", "C"]
 
 
 def test_path_agrees_with_full_rankings(spark):
@@ -71,18 +73,81 @@ def test_path_agrees_with_full_rankings(spark):
     for args in ((5, 10, 0.3, 2), (10, 20, 0.3, 2), (4, 4, 0.25, 0)):
         held, days, want = [], {}, []
         for d, names in enumerate(rankings):
-            held = I.controlled_targets(names, held, days, *args)
+            held = P.controlled_targets(names, held, days, *args)
             days = {c: days.get(c, 0) + 1 for c in held}
             want += [(day(d), c, i + 1) for i, c in enumerate(held)]
-        assert sorted(map(tuple, I.portfolio_path(ranked, *args).collect())) == sorted(want)
+        assert sorted(map(tuple, P.portfolio_path(ranked, *args).collect())) == sorted(want)
+
+
+def test_smoothing_averages_percentile_ranks_of_the_dates_that_hold_a_code(spark):
+    kind = "date date, code string, score double"
+    got = lambda rows, w: {(r.date, r.code): (r.smoothed, r.order) for r in P.smoothed_ranks(spark.createDataFrame(rows, kind), w).collect()}
+    rows = [(day(0), c, x) for c, x in zip("ABC", (3.0, 2.0, 1.0))] + [(day(1), c, x) for c, x in zip("ABC", (1.0, 3.0, 2.0))]
+    for w in ((0.5, 0.5), (5, 5)):
+        out = got(rows, w)
+        assert [out[day(1), c] for c in "BAC"] == [(pytest.approx(5 / 6), 1), (pytest.approx(2 / 3), 2), (pytest.approx(1 / 2), 3)]
+    out = got([(day(0), "A", 2.0), (day(0), "B", 1.0), (day(1), "B", 1.0), (day(1), "C", 2.0), (day(2), "A", 1.0)], (0.5, 0.5))
+    assert out[day(1), "C"][0] == 1.0 and (day(1), "A") not in out and out[day(2), "A"][0] == 1.0
+    assert got([(day(0), c, 1.0) for c in "AB"], (1.0,))[day(0), "A"] == (0.75, 1)  # ties share their average rank
+    for bad in ((), (0, 0), (1, -1)):
+        with pytest.raises(ValueError):
+            got(rows, bad)
+
+
+def table(score, benchmark, current):
+    return pd.DataFrame({"code": [f"{i:02d}" for i in range(len(score))], "score": score, "benchmark": benchmark, "current": current})
 
 
 def test_weights_keep_bounds_sum_and_turnover():
-    benchmark, current = np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.39, 0.29, 0.2, 0.12])
-    w = I.optimise(np.array([-1, 1, 0.5, 0.0]), benchmark, current, active=0.05, turnover=0.06)
-    assert w.sum() == pytest.approx(1) and (np.abs(w - benchmark) <= 0.05 + 1e-9).all() and np.abs(w - current).sum() <= 0.06 + 1e-9 and w[1] > w[0] - 0.1
+    s = P.Settings(max_names=4, alpha_top_n=4, alpha_strength=0.02, max_active=0.03, max_weight=0.5, max_turnover=0.10)
+    out, facts = P.optimise(table([1.0, 0.75, 0.5, 0.25], [0.4, 0.3, 0.2, 0.1], [0.39, 0.29, 0.20, 0.10]), s)
+    assert out.target_weight.sum() == pytest.approx(0.98) and out.active_weight.abs().max() <= 0.03 + 1e-8
+    assert facts["turnover"] <= 0.10 + 1e-7 and out.set_index("code").active_weight["00"] > 0
+    cheap, dear = (P.optimise(table([1.0, 0.0], [0.5, 0.5], [0.49, 0.49]), P.Settings(max_names=2, alpha_top_n=2, risk_aversion=0.1, turnover_penalty=0.0, max_active=0.2, max_weight=0.8, max_turnover=0.4, buy_cost=c, sell_cost=c))[0] for c in (0.0, 0.2))
+    assert dear.set_index("code").active_weight["00"] < cheap.set_index("code").active_weight["00"]
     with pytest.raises(ValueError):
-        I.bounded_projection(np.ones(2), np.zeros(2), np.full(2, 0.4), 1.0)
+        P.nearest_within(np.ones(2), np.zeros(2), np.full(2, 0.4), 1.0)
+    with pytest.raises(ValueError, match="benchmark"):
+        P.optimise(table([1.0, 0.0], [0.0, None], [0.5, 0.5]))
+
+
+def test_weights_are_the_minimum():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = 12
+        benchmark, current = rng.dirichlet(np.ones(n)) * 0.98, rng.dirichlet(np.ones(n)) * 0.98
+        alpha, s = rng.normal(size=n), P.Settings(max_active=0.05)
+        low, high = np.maximum(0, benchmark - 0.05), benchmark + 0.05
+        cost = lambda w: -s.alpha_strength * alpha @ w + 0.5 * ((w - benchmark) ** 2 / np.maximum(benchmark, s.risk_floor)).sum() + s.turnover_penalty * np.abs(w - current).sum() + s.buy_cost * (w - current).clip(min=0).sum() + s.sell_cost * (current - w).clip(min=0).sum()  # noqa: B023, E731
+        w = P.best_weights(alpha, benchmark, current, low, high, s)
+        assert w.sum() == pytest.approx(0.98) and (w >= low - 1e-12).all() and (w <= high + 1e-12).all()
+        for _ in range(200):  # no feasible step improves a convex function at its minimum
+            other = P.nearest_within(w + rng.normal(size=n) * 10 ** rng.uniform(-5, -1), low, high, 0.98)
+            assert cost(other) >= cost(w) - 1e-10
+        near = P.nearest_within(current, low, high, 0.98)
+        assert near.sum() == pytest.approx(0.98) and all(((current - near) ** 2).sum() <= ((current - P.nearest_within(near + rng.normal(size=n) * 0.01, low, high, 0.98)) ** 2).sum() + 1e-10 for _ in range(100))
+        least = np.abs(near - current).sum()
+        budget = (least + np.abs(w - current).sum()) / 2
+        part = P.furthest(near, w, current, max(budget, least + 1e-8))
+        assert np.abs(part - current).sum() <= max(budget, least + 1e-8) + 1e-9
+
+
+def test_candidates_are_held_ranked_and_heavy_names():
+    n = 30
+    score = [None if i >= 25 else 1 - i / n for i in range(n)]
+    out, facts = P.optimise(table(score, [1 / n] * n, [0.049 if i in (24, 29) else 0.0 for i in range(n)]), P.Settings(max_names=12, alpha_top_n=5, max_active=0.2, max_weight=0.9))
+    assert facts["candidates"] <= 12 and facts["benchmark_coverage"] == pytest.approx(12 / n) and out.target_weight.sum() == pytest.approx(0.98)
+
+
+def test_weight_history_is_checked_while_it_is_read(spark):
+    kind = "date string, index_key string, code string, benchmark_weight string"
+    rows = [("2024-01-02", "a", "600000", "30"), ("2024-01-02", "a", "000001.sz", "10"), ("2024-01-02", "b", "600000", "9"), ("2024-01-03", "a", "600000", "x"), ("2024-02-01", "a", "600000", "5")]
+    read = lambda extra=(), **k: {(str(r.date), r.code): r.benchmark_weight for r in P.weight_history(spark.createDataFrame([*rows, *extra], kind), "a", **k).collect()}
+    assert read() == {("2024-01-02", "600000.XSHG"): 0.75, ("2024-01-02", "000001.XSHE"): 0.25, ("2024-02-01", "600000.XSHG"): 1.0}
+    assert list(read(start="2024-01-15")) == [("2024-02-01", "600000.XSHG")]
+    for bad, text in (((("2024-02-01", "a", "600000.SH", "5"),), "repeated"), ((("2024-02-01", "a", "600001", "-1"),), "negative"), ((("2024-03-01", "a", "600001", "0"),), "sum to zero")):
+        with pytest.raises(Exception, match=text):
+            read(bad)
 
 
 def test_as_of_takes_the_last_known_row(spark):
