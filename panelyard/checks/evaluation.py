@@ -106,8 +106,14 @@ b as (select factor, bucket, avg(target) m from (select *, {BUCKET} bucket from
 s as (select factor, max(case when bucket = 5 then m end) - max(case when bucket = 1 then m end) high_low, {corr_sql('bucket', 'rk')} monotonicity from (select *, {rank_sql('m', 'partition by factor')} rk from b) group by factor),
 dd as (select date, row_number() over (order by date) pos_ from (select distinct date from rows_)),
 rr as (select factor, code, pos_, {rank_sql('value', FD)} / count(value) over ({FD}) rk from rows_ join dd using (date))
-select factor, {r('label_coverage')}, {r('top_mean')}, {r('top_positive')}, {r('high_low')}, {r('monotonicity')}, {r('a1', 'autocorr_1')}, {r('a5', 'autocorr_5')}
-from t left join s using (factor) left join {_AUTO(1)} using (factor) left join {_AUTO(5)} using (factor)"""
+select factor, {r('label_coverage')}, {r('top_mean')}, {r('top_positive')}, {r('high_low')}, {r('monotonicity')}, {r('a1', 'autocorr_1')}, {r('a5', 'autocorr_5')}, {r('a20', 'autocorr_20')}
+from t left join s using (factor) left join {_AUTO(1)} using (factor) left join {_AUTO(5)} using (factor) left join {_AUTO(20)} using (factor)"""
+DAYS_SQL = f"""{LONG}, rows_ as (select *, row_number() over ({FD} order by value desc, code) pos_, case when target is not null then value end v, {rank_sql('target', FD)} rt from long where value is not null),
+k as (select *, {rank_sql('v', FD)} rv, case when v is not null and count(v) over ({FD}) >= 5 then greatest(1, ceil((row_number() over ({FD} order by v nulls last, code) - 1) * 5 / nullif(count(v) over ({FD}) - 1, 0))) end bucket from rows_),
+a as (select factor, date, count(*) predictions, count(target) labels, {corr_sql('rv', 'rt')} rank_ic, avg(target) filter (where pos_ <= 10) top_mean from k group by factor, date),
+b as (select *, {rank_sql('m', FD)} rk from (select factor, date, bucket, avg(target) m from k where bucket is not null group by factor, date, bucket)),
+c as (select factor, date, max(case when bucket = 5 then m end) - max(case when bucket = 1 then m end) high_low, {corr_sql('bucket', 'rk')} monotonicity from b group by factor, date),
+dq as (select * from a left join c using (factor, date))"""
 
 _RK = "rk as (select factor, date, code, " + rank_sql("value", FD) + f" / count(value) over ({FD}) k from long)"
 CORR_SQL = f"{LONG}, {_RK} select x.factor a, y.factor b, {r('coalesce(' + corr_sql('x.k', 'y.k') + ', 0)', 'corr')} from rk x join rk y on x.date = y.date and x.code = y.code and x.factor < y.factor group by x.factor, y.factor"
@@ -119,9 +125,12 @@ def all_checks() -> dict:
         "eval_forward_return": (lambda s, sf: tidy(M.forward_return(panels.bars(s, sf, True)).select("date", "code", "target")), f"with {panels.bars_sql(True)} select date, code, {r('lead(close, 5) over w / lead(close, 1) over w - 1', 'target')} from bars window w as (partition by code order by date)"),
         "eval_daily_ic": (lambda s, sf: tidy(M.daily_ic(long(s, sf))), f"{LONG}, {IC} select factor, date, {r('ic')}, {r('rank_ic')} from ic"),
         "eval_reward": (lambda s, sf: tidy(M.reward(long(s, sf))), REWARD_SQL),
-        "eval_summary": (lambda s, sf: tidy(M.summary(long(s, sf))), SUMMARY_SQL),
+        "eval_summary": (lambda s, sf: tidy(M.summary(M.once(long(s, sf)))), SUMMARY_SQL),
         "eval_quantile_returns": (lambda s, sf: tidy(M.quantile_returns(long(s, sf))), QUANTILE_SQL),
-        "eval_prediction_quality": (lambda s, sf: tidy(M.prediction_quality(long(s, sf))), QUALITY_SQL),
+        "eval_prediction_quality": (lambda s, sf: tidy(M.prediction_quality(M.once(long(s, sf)))), QUALITY_SQL),
+        "eval_daily_quality": (lambda s, sf: tidy(M.daily_quality(M.once(long(s, sf)))), f"{DAYS_SQL} select factor, date, predictions, labels, {r('rank_ic')}, {r('top_mean')}, {r('high_low')}, {r('monotonicity')} from dq"),
+        "eval_annual_quality": (lambda s, sf: tidy(M.annual_quality(M.daily_quality(M.once(long(s, sf))))), f"""{DAYS_SQL} select factor, year(date)::bigint as year, count(*) as dates, count(rank_ic) as ic_dates, {r('avg(rank_ic)', 'ic_mean')}, {r('stddev_samp(rank_ic)', 'ic_std')}, {r('case when stddev_samp(rank_ic) > 0 then avg(rank_ic) / stddev_samp(rank_ic) * sqrt(252) end', 'ic_ir')},
+          {r('avg((rank_ic > 0)::int)', 'ic_positive')}, {r('avg(high_low)', 'high_low')}, {r('avg((high_low > 0)::int)', 'high_low_positive')}, {r('avg(monotonicity)', 'monotonicity')}, {r('avg(top_mean)', 'top_mean')}, {r('sum(labels) / sum(predictions)', 'label_coverage')} from dq group by factor, year(date)"""),
         "eval_factor_correlation": (lambda s, sf: tidy(M.rank_correlation(wide(s, sf), FACTORS)), CORR_SQL),
         "eval_robustness": (lambda s, sf: M.robustness(long(s, sf)), None),
         "eval_scores": (lambda s, sf: M.scores(wide(s, sf), sizes), None),

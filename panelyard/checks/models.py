@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from panelyard.checks.evaluation import FACTORS, tidy, wide
+from panelyard.checks.evaluation import FACTORS, FD, LONG, r, tidy, wide
+from panelyard.checks.expressions import Script
 from panelyard.evaluation import metrics as M
 from panelyard.plans.nodes import DAILY, MINUTE, State, random_tree
 from panelyard.search import fusion, policy
@@ -15,6 +16,9 @@ from panelyard.sources import panels
 from panelyard.streaming.bars import stream_bars
 
 
+POOL = {f"factor_{i:03d}": random_tree(i) for i in range(8)}
+
+
 def _scorer(s, sf):
     panel = panels.with_risk(M.forward_return(panels.bars(s, sf)), s, sf)
     return panel, policy.batch_rewards(panel)
@@ -30,10 +34,21 @@ def search(s, sf):
 
 
 def pool_matrix(s, sf):
-    panel, _ = _scorer(s, sf)
-    trees = [random_tree(i) for i in range(8)]
-    out = policy.execute_pool(panel, [{"factor": f"factor_{i:03d}", "tokens": t.to_json()} for i, t in enumerate(trees)])
-    return tidy(out)
+    rows = [{"factor": k, "tokens": t.to_json()} for k, t in POOL.items()]
+    return tidy(policy.execute_pool(panels.bars(s, sf), rows))
+
+
+def pool_sql() -> str:
+    script = Script(panels.bars_sql(), "bars")
+    columns = {k: script.node(t) for k, t in POOL.items()}
+    return script.select("date, code, " + ", ".join(r(c, k) for k, c in columns.items()))
+
+
+def inputs_sql() -> str:
+    z = {f: f"max(case when factor = '{f}' then coalesce(case when s > 1e-12 then (value - m) / s end, 0) end)" for f in FACTORS}
+    return f"""{LONG}, k as (select *, avg(value) over ({FD}) m, stddev_samp(value) over ({FD}) s, quantile_cont(target, 0.9) over ({FD}) cut,
+  case when target is not null and count(target) over ({FD}) >= 5 then greatest(1, ceil((row_number() over ({FD} order by target nulls last, code) - 1) * 5 / nullif(count(target) over ({FD}) - 1, 0))) - 1 end rel from long)
+select date, code, {r('any_value(target)', 'target')}, {', '.join(r(f'coalesce({e}, 0)', f) for f, e in z.items())}, {r('case when any_value(target) >= any_value(cut) then 3.0 else 1.0 end', 'sample_weight')}, any_value(rel)::bigint as relevance from k group by date, code"""
 
 
 def grammar(s, sf):
@@ -43,11 +58,11 @@ def grammar(s, sf):
 
 
 def fused(kind: str):
-    return lambda s, sf: fusion.walk_forward(wide(s, sf), FACTORS[:3], 40, 5, 30, kind)
+    return lambda s, sf: fusion.walk_forward(wide(s, sf), FACTORS, 40, 5, 30, kind)
 
 
 def fusion_inputs(s, sf):
-    return tidy(fusion.prepared(wide(s, sf), FACTORS[:2]))
+    return tidy(fusion.prepared(wide(s, sf), FACTORS))
 
 
 def streamed(s, sf):
@@ -65,9 +80,13 @@ STREAM_SQL = f"""with {panels.ticks_sql()} select strftime(date, '%Y-%m-%d') as
   round(arg_max(close, row(datetime, seq)) + 3.1e-8::double, 6) + 0.0::double as close, round(sum(vol) + 3.1e-8::double, 6) + 0.0::double as volume, round(sum(amount) + 3.1e-8::double, 6) + 0.0::double as amount, count(*) as bars from ticks group by date, code"""
 
 
+#: A day comes out once the watermark, ten minutes behind the last tick, has passed its end.
+APPEND_SQL = STREAM_SQL.replace(" from ticks group by", " from ticks where date + interval 1 day <= (select max(datetime) - interval 10 minute from ticks) group by")
+
+
 def all_checks() -> dict:
     return {
-        "search_grammar": (grammar, None), "search_pool": (search, None), "search_pool_matrix": (pool_matrix, None), "fusion_inputs": (fusion_inputs, None),
+        "search_grammar": (grammar, None), "search_pool": (search, None), "search_pool_matrix": (pool_matrix, pool_sql()), "fusion_inputs": (fusion_inputs, inputs_sql()),
         "fusion_trees": (fused("trees"), None), "fusion_linear": (fused("linear"), None), "fusion_huber": (fused("huber"), None),
-        "stream_daily_bars": (lambda s, sf: tidy(stream_bars(panels.ticks(s, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))), STREAM_SQL), "stream_append": (streamed, None),
+        "stream_daily_bars": (lambda s, sf: tidy(stream_bars(panels.ticks(s, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))), STREAM_SQL), "stream_append": (streamed, APPEND_SQL),
     }

@@ -7,14 +7,19 @@ which also holds for finer ones, so the long form is shuffled once and reduced t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.scalar import EPS, average_rank, corr_agg, finite, pct_rank
+from panelyard.functions.scalar import EPS, average_rank, corr_agg, finite, moment_corr, pct_rank
+from panelyard.session import stored
 
 YEAR = 252.0
+#: Sums over the rows where both sides of a pair are known.
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def forward_return(panel: DataFrame, horizon: int = 5) -> DataFrame:
@@ -31,6 +36,11 @@ def long_form(frame: DataFrame, factors: list[str]) -> DataFrame:
     return frame.unpivot(keys, factors, "factor", "value").withColumn("value", finite(F.col("value").cast("double"))).withColumn("target", finite(F.col("target")))
 
 
+def once(long: DataFrame) -> DataFrame:
+    """The long form as a table of the shared folder, for what reads it several times: factors are computed once."""
+    return stored(long, "long")
+
+
 def _per_day():
     return Window.partitionBy("factor", "date")
 
@@ -108,7 +118,10 @@ def stability(long: DataFrame) -> DataFrame:
 
 
 def summary(long: DataFrame, horizon: int = 5, min_cross_section: int = 20, rolling: int = 60, top_quantile: float = 0.1) -> DataFrame:
-    """A row per factor: IC, RankIC, ICIR, Sharpe, rolling and temporal stability, rank stability and turnover."""
+    """A row per factor: IC, RankIC, ICIR, Sharpe, rolling and temporal stability, rank stability and turnover.
+
+    ``long`` is read three times; unless it is a table already, make it one with ``once``.
+    """
     days = _days(_tops(long, top_quantile), F.col("top"))
     known = (F.col("n") >= min_cross_section) & F.col("rank_ic_all").isNotNull()
     days = days.select("factor", "date", "excess", F.when(F.col("n") >= min_cross_section, F.col("ic_all")).alias("ic"), F.when(known, F.col("rank_ic_all")).alias("rank_ic"), known.alias("known"))
@@ -149,7 +162,7 @@ def rank_correlation(frame: DataFrame, factors: list[str], max_rows: int | None
     """a, b, corr for each pair of factors: correlation of daily percentile ranks over every date. Only a caller that names ``max_rows``
     gets evenly spaced dates of larger panels instead.
 
-    All pairs are moments of one aggregation; the result has a row per pair.
+    Each partition adds up the moments of all pairs as matrix products, and sends one row per pair.
     """
     if max_rows is not None:
         counts = frame.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
@@ -160,11 +173,24 @@ def rank_correlation(frame: DataFrame, factors: list[str], max_rows: int | None
             dates = counts.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("at")).where(F.col("at").isin(spots))
             frame = frame.join(dates.select("date"), "date", "left_semi")
     day = Window.partitionBy("date")
-    ranked = frame.select(*[pct_rank(F.col(f), day).alias(f) for f in factors])
-    pairs = [(a, b) for i, a in enumerate(factors) for b in factors[i + 1 :]]
-    wide = ranked.agg(*[F.coalesce(corr_agg(F.col(a), F.col(b)), F.lit(0.0)).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
-    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr")) for i, (a, b) in enumerate(pairs)])
-    return wide.select(F.inline(names))
+    ranked = frame.select(*[pct_rank(F.col(f), day).alias(f"x{i}") for i, f in enumerate(factors)])
+    k = len(factors)
+    a, b = np.triu_indices(k, 1)
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            square = (x * x).T @ m
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, square, square.T, x.T @ x])
+        yield pa.record_batch([pa.array(a, pa.int32()), pa.array(b, pa.int32()), *[pa.array(t[a, b]) for t in total]], names=["i", "j", *MOMENTS])
+
+    parts = ranked.mapInArrow(moments, "i int, j int, " + ", ".join(f"{c} double" for c in MOMENTS))
+    pairs = parts.groupBy("i", "j").agg(moment_corr(*[F.sum(c) for c in MOMENTS]).alias("corr"))
+    names = F.array(*[F.lit(f) for f in factors])
+    return pairs.select(names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), F.coalesce("corr", F.lit(0.0)).alias("corr"))
 
 
 def determinantal_choice(kernel: np.ndarray, k: int) -> list[int]:
@@ -193,7 +219,8 @@ def scores(frame: DataFrame, factors: dict[str, tuple[int, int]], choose: int =
 
     Only rows per factor and the pairwise correlations reach the driver.
     """
-    long = long_form(frame.select("date", "code", "target", *factors), list(factors))
+    frame = stored(frame.select("date", "code", "target", *factors), "factors")
+    long = long_form(frame, list(factors))
     table = summary(long, horizon, min_cross_section).join(robustness(long, min_cross_section), "factor").orderBy("factor").toPandas()
     table["logic_score"] = [logic_score(*factors[f]) for f in table.factor]
     table["pps_score"] = _z(table.RankIC.abs().to_numpy()) + _z(table.ICIR.abs().to_numpy())
@@ -226,9 +253,9 @@ def quantile_returns(long: DataFrame, q: int = 5) -> DataFrame:
     return days.groupBy("factor", F.year("date").alias("year"), "bucket").agg(F.sum("n").alias("n"), F.avg("m").alias("mean_target"), (F.sum("up") / F.sum("n")).alias("positive"))
 
 
-def prediction_quality(long: DataFrame, top_n: int = 10, q: int = 5) -> DataFrame:
+def prediction_quality(long: DataFrame, top_n: int = 10, q: int = 5, lags: Sequence[int] = (1, 5, 20)) -> DataFrame:
     """A row per factor: coverage of labels, the mean and positive share of each day's first ``top_n``, high less low bucket,
-    monotonicity over buckets, autocorrelation of ranks at lags 1 and 5 of the signal calendar."""
+    monotonicity over buckets, autocorrelation of ranks at ``lags`` of the signal calendar."""
     day = _per_day()
     rows = long.where("value is not null")
     first = rows.withColumn("at", F.row_number().over(day.orderBy(F.desc("value"), "code")))
@@ -240,8 +267,33 @@ def prediction_quality(long: DataFrame, top_n: int = 10, q: int = 5) -> DataFram
     dates = rows.select("date").distinct().withColumn("at", F.row_number().over(Window.orderBy("date")))
     ranks = rows.withColumn("rank", pct_rank(F.col("value"), day)).select("factor", "code", "date", "rank").join(dates, "date")
     out = tops.join(shape, "factor", "left")
-    for lag in (1, 5):
+    for lag in lags:
         earlier = ranks.select("factor", "code", (F.col("at") + lag).alias("at"), F.col("rank").alias("old"))
         days = ranks.join(earlier, ["factor", "code", "at"]).groupBy("factor", "at").agg(corr_agg(F.col("rank"), F.col("old")).alias("c"))
         out = out.join(days.groupBy("factor").agg(F.avg("c").alias(f"autocorr_{lag}")), "factor", "left")
     return out
+
+
+def daily_quality(long: DataFrame, top_n: int = 10, q: int = 5) -> DataFrame:
+    """factor, date, predictions, labels, rank_ic, top_mean (of the first ``top_n``), high_low and monotonicity over the day's buckets."""
+    day = _per_day()
+    rows = long.where("value is not null")
+    both = F.col("target").isNotNull()
+    marked = rows.withColumns({"at": F.row_number().over(day.orderBy(F.desc("value"), "code")), "v": F.when(both, F.col("value"))})
+    marked = marked.withColumns({"rank_v": average_rank(F.col("v"), day), "rank_t": average_rank(F.col("target"), day), "bucket": buckets(F.col("v"), day, ["code"], q)})
+    days = marked.groupBy("factor", "date").agg(F.count("value").alias("predictions"), F.count("target").alias("labels"), corr_agg(F.col("rank_v"), F.col("rank_t")).alias("rank_ic"), F.avg(F.when(F.col("at") <= top_n, F.col("target"))).alias("top_mean"))
+    means = marked.where("bucket is not null").groupBy("factor", "date", "bucket").agg(F.avg("target").alias("m"))
+    ranked = means.withColumn("r", average_rank(F.col("m"), day))
+    shape = ranked.groupBy("factor", "date").agg((F.max(F.when(F.col("bucket") == q, F.col("m"))) - F.max(F.when(F.col("bucket") == 1, F.col("m")))).alias("high_low"), corr_agg(F.col("bucket").cast("double"), F.col("r")).alias("monotonicity"))
+    return days.join(shape, ["factor", "date"], "left")
+
+
+def annual_quality(days: DataFrame) -> DataFrame:
+    """A row per factor and year of ``daily_quality``: dates, and mean, deviation, ratio and positive share of the IC, means of the rest."""
+    ic = F.col("rank_ic")
+    return days.groupBy("factor", F.year("date").alias("year")).agg(
+        F.count(F.lit(1)).alias("dates"), F.count(ic).alias("ic_dates"), F.avg(ic).alias("ic_mean"), F.stddev_samp(ic).alias("ic_std"),
+        F.when(F.stddev_samp(ic) > 0, F.avg(ic) / F.stddev_samp(ic) * math.sqrt(YEAR)).alias("ic_ir"), F.avg((ic > 0).cast("double")).alias("ic_positive"),
+        F.avg("high_low").alias("high_low"), F.avg((F.col("high_low") > 0).cast("double")).alias("high_low_positive"), F.avg("monotonicity").alias("monotonicity"),
+        F.avg("top_mean").alias("top_mean"), (F.sum("labels") / F.sum("predictions")).alias("label_coverage"),
+    )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.evaluation.metrics import buckets
+from panelyard.session import stored
 
 
 @dataclass(frozen=True)
@@ -58,8 +59,9 @@ def learner(kind: str, seed: int = 7):
 
 def walk_forward(matrix: DataFrame, factors: Sequence[str], train: int, horizon: int, refit: int, kind: str = "trees") -> DataFrame:
     """date, code, score, rank on dates out of sample; targets of the predicted dates aren't read."""
-    data = VectorAssembler(inputCols=list(factors), outputCol="features").transform(prepared(matrix, factors))
-    dates = [r.date for r in matrix.select("date").distinct().orderBy("date").collect()]  # the calendar
+    # Every window of the walk reads the prepared matrix, twice, so it is made once.
+    data = VectorAssembler(inputCols=list(factors), outputCol="features").transform(stored(prepared(matrix, factors), "matrix"))
+    dates = [r.date for r in data.select("date").distinct().orderBy("date").collect()]  # the calendar
     out = None
     for step in windows(dates, train, horizon, refit):
         model = learner(kind).fit(data.where(F.col("date").between(step.first, step.last) & F.col("target").isNotNull()))

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from panelyard.evaluation import metrics
 from panelyard.plans.compile import daily_factors, minute_factors
 from panelyard.plans.nodes import DAILY, MINUTE, Language, Node, State, parse
+from panelyard.session import stored
 
 
 @dataclass
@@ -77,6 +78,7 @@ def batch_rewards(panel: DataFrame, **settings) -> Callable[[Sequence[Node]], di
     ``panel`` has target, industry and market_cap beside the features.
     """
     known: dict[str, dict] = {}
+    panel = stored(panel, "panel")  # every batch reads it
 
     def score(trees: Sequence[Node]) -> dict[str, dict]:
         new = {str(t): t for t in trees if str(t) not in known}

@@ -9,12 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PRICES, REQUIRED = ("open", "high", "low", "close", "vwap"), ("date", "code", "open", "high", "low", "close", "volume")
-#: Names that vendors give to the columns, English ones.
+#: Names that vendors give to the columns.
 ALIASES = {
-    "date": ("date", "trade_date", "datetime", "time"), "code": ("code", "order_book_id", "symbol", "ticker"), "open": ("open", "open_price"), "high": ("high", "high_price"),
-    "low": ("low", "low_price"), "close": ("close", "close_price"), "volume": ("volume", "vol"), "amount": ("amount", "total_turnover", "turnover"), "vwap": ("vwap", "avg_price"),
-    "adj_factor": ("adj_factor", "ex_cum_factor"), "industry": ("industry",), "market_cap": ("market_cap",),
-}
+    "date": ("date", "datetime", "trade_date", "trading_date", "time", "日期", "交易日期"),
+    "code": ("code", "symbol", "ticker", "security_id", "order_book_id", "股票代码", "证券代码"),
+    "open": ("open", "open_price", "开盘", "开盘价"),
+    "high": ("high", "high_price", "最高", "最高价"),
+    "low": ("low", "low_price", "最低", "最低价"),
+    "close": ("close", "close_price", "收盘", "收盘价"),
+    "volume": ("volume", "vol", "trade_volume", "成交量"),
+    "amount": ("amount", "turnover", "total_turnover", "trade_amount", "成交额"),
+    "vwap": ("vwap", "avg_price", "average_price", "均价", "成交均价"),
+    "adj_factor": ("adj_factor", "adjust_factor", "ex_cum_factor", "factor", "复权因子"),
+    "industry": ("industry", "industry_code", "申万行业", "行业"),
+    "market_cap": ("market_cap", "total_market_cap", "float_market_cap", "市值", "总市值", "流通市值"),
+}
 
 
 def _plain(name: str) -> str:
