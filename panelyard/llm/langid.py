@@ -34,8 +34,8 @@ UNKNOWN = "und"
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 2 << 20
 BUCKETS, AFFIX, SEGMENT, PIECE = 1 << 19, 4, 256, 1 << 21
 EPOCHS, RATE, DECAY, BATCH_WORDS = 3, 0.2, 1e-6, 30_000
-#: A text whose likeliest language holds less of its words has none.
-LEAST_SHARE = 0.4
+#: A text has no language if the likeliest one's share of its words is less than so many times an even split (and less than a half).
+STAND_OUT = 1.2
 #: Letters by byte: ASCII letters and all bytes of longer characters; whether a text has a letter is asked of its characters.
 LETTERS = words.table((0x61, 0x7A), (0x80, 0xFF))
 _LETTER = regex.compile(r"\p{L}")
@@ -289,18 +289,18 @@ def _label(model: Model | None, column: pa.Array) -> tuple[list[str], list[float
     return langs, scores
 
 
-def accepted(model: Model | None, column: pa.Array, least: float = LEAST_SHARE) -> np.ndarray:
-    """Which texts have a language: one that isn't ``und`` and is expected to hold at least ``least`` of the words. Without a model, all that have a letter."""
+def accepted(model: Model | None, column: pa.Array, stand_out: float = STAND_OUT) -> np.ndarray:
+    """Which texts have a language: one that isn't ``und`` and whose expected share of the words stands out. Without a model, all that have a letter."""
     if model is None:
         return np.array([bool(x and _LETTER.search(x)) for x in column.to_pylist()], dtype=bool)
     langs, scores = _label(model, column)
-    return (np.array(langs, dtype=object) != UNKNOWN) & (np.array(scores) >= least)
+    return (np.array(langs, dtype=object) != UNKNOWN) & (np.array(scores) >= min(0.5, stand_out / len(model.labels)))
 
 
-def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = LEAST_SHARE) -> DataFrame:
+def with_language(docs: DataFrame, model: Model | None, text_col: str = "text", stand_out: float = STAND_OUT) -> DataFrame:
     """``docs`` without the rows that ``accepted`` rejects."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return words.filtered(docs, text_col, lambda column: accepted(shared.value, column, least))
+    return words.filtered(docs, text_col, lambda column: accepted(shared.value, column, stand_out))
 
 
 def train(docs: DataFrame, learn: Column) -> Model | None:

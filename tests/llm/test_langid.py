@@ -94,7 +94,8 @@ def test_rejected_are_texts_without_a_language_and_nothing_else(spark):
     model = langid.fit(samples)
     mixed = " ".join(" ".join([x] * 3) for x in texts.values())
     column = pa.array([*texts.values(), mixed, None, "", "12 %", f"{texts['en']} {texts['fr']}"])
-    assert langid.accepted(model, column).tolist() == [True] * 4 + [False] * 4 + [True]
+    assert langid.accepted(model, column).tolist() == [True] * 4 + [langid._label(model, column)[1][4] >= 0.3] + [False] * 3 + [True]
+    assert langid.accepted(model, column, 2.0).tolist() == [True] * 4 + [False] * 4 + [langid._label(model, column)[1][8] >= 0.5]
     docs = documents(spark, ["plain English words", None, "12", "more words"]).withColumn("lang", F.lit(None).cast("string"))
     assert langid.train(docs, F.lit(True)) is None
     kept = langid.with_language(docs, None)
