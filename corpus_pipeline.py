@@ -4,7 +4,7 @@ STAGES holds (name, function); a function takes (spark, docs, sf_dir) and return
 the columns of ``docs``. ``run`` applies them to the ``documents`` of a folder, writing each result as Parquet to the
 shared folder and reading it again, so a lost executor costs one stage at most.
 
-Rejected: documents without a language (no letter at all, or no language that the field gives ``langid.LEAST_SHARE`` of the words); documents predicted toxic; of each near-duplicate group all
+Rejected: documents without a language (no letter at all, or no language whose share of the words stands out, ``langid.STAND_OUT``); documents predicted toxic; of each near-duplicate group all
 but the document with the smallest doc_id; contaminated documents. The last stage encodes what is left and returns its digests.
 
 Defined cases: those of the operators; where no row has a lang, only texts without a letter are rejected by language; texts are judged row by row, so rows that share a doc_id, or have none, are judged by their
