@@ -32,7 +32,7 @@ from panelyard.llm.lm import held_out
 
 UNKNOWN = "und"
 SAMPLE_ROWS, SAMPLE_BYTES = 1500, 2 << 20
-BUCKETS, AFFIX, SEGMENT, PIECE = 1 << 19, 4, 256, 1 << 21
+BUCKETS, AFFIX, SEGMENT, PIECE = 1 << 19, 4, 256, 1 << 20
 EPOCHS, RATE, DECAY, BATCH_WORDS = 3, 0.2, 1e-6, 30_000
 #: A text has no language if the likeliest one's share of its words is less than so many times an even split (and less than a half).
 STAND_OUT = 1.2
