@@ -33,7 +33,7 @@ from panelyard.llm import words
 
 LONG = 256
 #: Words in a query, codes that a worker keeps from one turn to the next, bytes of text at a time, tokens decoded in a query.
-AT_ONCE, CACHED, PIECE, TOKENS = 10_000, 200_000, 1 << 21, 1 << 16
+AT_ONCE, CACHED, PIECE, TOKENS = 10_000, 200_000, 1 << 21, 1 << 18
 
 #: Rows come in the order of (word, position), and a step keeps the order of what it reads, so a neighbour is the next row;
 #: the order of everything returned is verified.
