@@ -93,14 +93,21 @@ def batch_rewards(panel: DataFrame, **settings) -> Callable[[Sequence[Node]], di
     return score
 
 
-def train(policy: Policy, score: Callable, epochs: int, batch: int, seed: int = 0) -> list[dict]:
-    """Metrics of each epoch: loss, mean and best reward, log Z."""
-    rng, out = np.random.default_rng(seed), []
-    for epoch in range(epochs):
+def train(policy: Policy, score: Callable, epochs: int, batch: int, seed: int = 0, first: int = 0, keep: Callable[[int, str], None] | None = None) -> list[dict]:
+    """Metrics of each epoch: loss, mean and best reward, log Z.
+
+    ``keep`` gets each finished epoch and the policy's text. A run that loads such a text and starts at the next epoch (``first``) goes on as if it
+    had never stopped, since the draws of an epoch depend on the seed and its number only.
+    """
+    out = []
+    for epoch in range(first, epochs):
+        rng = np.random.default_rng([seed, epoch])
         drawn = [policy.sample(rng) for _ in range(batch)]
         rewards = [max(1e-8, score([t for t, _ in drawn])[str(t)]["reward"]) for t, _ in drawn]
         loss = policy.learn([p for _, p in drawn], rewards)
         out.append({"epoch": epoch, "loss": loss, "mean_reward": float(np.mean(rewards)), "best_reward": max(rewards), "log_z": policy.log_z})
+        if keep is not None:
+            keep(epoch, policy.save())
     return out
 
 

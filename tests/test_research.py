@@ -214,6 +214,23 @@ def test_policy_learns_to_prefer_rewarded_trees_and_round_trips():
     assert len({r["expression"] for r in rows}) == 3 and all(str(parse(r["tokens"], small)) == r["expression"] for r in rows)
 
 
+def test_training_goes_on_where_it_stopped():
+    score = lambda trees: {str(t): {"reward": 1.0 / len(str(t)), "coverage": 1.0} for t in trees}
+    whole, saved = policy.Policy(), {}
+    history = policy.train(whole, score, 4, 3, keep=saved.__setitem__)
+    again = policy.Policy()
+    again.load(saved[1])
+    assert policy.train(again, score, 4, 3, first=2) == history[2:] and again.save() == whole.save()
+
+
+def test_localised_names_become_canonical(spark):
+    names = ["交易日期", "证券代码", "开盘价", "最高价", "最低价", "收盘价", "成交量", "成交额", "复权因子", "总市值"]
+    frame = spark.createDataFrame([("2021-01-01", "A", 1.0, 2.0, 0.5, 1.5, 10.0, 15.0, 1.0, 9.0)], ", ".join(f"`{n}` {'string' if i < 2 else 'double'}" for i, n in enumerate(names)))
+    assert set(C.rename(frame).columns) == {"date", "code", "open", "high", "low", "close", "volume", "amount", "adj_factor", "market_cap"}
+    english = frame.toDF("trading_date", "security_id", "open_price", "high_price", "low_price", "close_price", "trade_volume", "trade_amount", "adjust_factor", "float_market_cap")
+    assert C.column_mapping(english)["code"] == "security_id" and C.column_mapping(english)["adj_factor"] == "adjust_factor"
+
+
 def test_stores_round_trip_and_replace_only_their_partitions(spark):
     frame = spark.createDataFrame([(1, "a", 2020), (2, "b", 2021)], "x int, s string, year int")
     for suffix in (".parquet", ".csv.gz", ".json", ".orc"):
