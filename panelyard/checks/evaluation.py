@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelyard.checks.expressions import BATCH, Script
 from panelyard.evaluation import metrics as M
 from panelyard.functions.scalar import rounded
+from panelyard.index.research import yearly_audit
 from panelyard.plans.compile import daily_factors
 from panelyard.plans.nodes import parse
 from panelyard.sources import panels
@@ -119,6 +120,14 @@ _RK = "rk as (select factor, date, code, " + rank_sql("value", FD) + f" / count(
 CORR_SQL = f"{LONG}, {_RK} select x.factor a, y.factor b, {r('coalesce(' + corr_sql('x.k', 'y.k') + ', 0)', 'corr')} from rk x join rk y on x.date = y.date and x.code = y.code and x.factor < y.factor group by x.factor, y.factor"
 
 
+def audit_sql() -> str:
+    active = " + ".join(f"coalesce(stddev_pop(case when factor = '{f}' then value end) > 1e-12, false)::int" for f in FACTORS)
+    return f"""{LONG}, w as (select date, count(distinct code) n, count(value) f, count(target) // {len(FACTORS)} labels, max(target) > min(target) moves, {active} active from long group by date),
+y as (select year(date) "year", sum(n)::bigint "rows", count(*) dates, sum(f) / (sum(n) * {len(FACTORS)}) fr, min(active)::bigint active_min, median(active) am, count(*) filter (where active = 0) dates_without_factor, count(*) filter (where labels > 0) label_dates,
+  count(*) filter (where moves) varying_target_dates, count(*) filter (where labels >= 2 and not moves) constant_target_dates, max(date) filter (where labels > 0) last_label_date from w group by 1)
+select "year", "rows", dates, {r('fr', 'finite_ratio')}, active_min, {r('am', 'active_median')}, dates_without_factor, label_dates, varying_target_dates, constant_target_dates, last_label_date, (select count(distinct code) from long where year(date) = y."year") as codes from y"""
+
+
 def all_checks() -> dict:
     sizes = {k: (parse(v).complexity(), parse(v).depth()) for k, v in BATCH.items()}
     return {
@@ -131,6 +140,7 @@ def all_checks() -> dict:
         "eval_daily_quality": (lambda s, sf: tidy(M.daily_quality(M.once(long(s, sf)))), f"{DAYS_SQL} select factor, date, predictions, labels, {r('rank_ic')}, {r('top_mean')}, {r('high_low')}, {r('monotonicity')} from dq"),
         "eval_annual_quality": (lambda s, sf: tidy(M.annual_quality(M.daily_quality(M.once(long(s, sf))))), f"""{DAYS_SQL} select factor, year(date)::bigint as year, count(*) as dates, count(rank_ic) as ic_dates, {r('avg(rank_ic)', 'ic_mean')}, {r('stddev_samp(rank_ic)', 'ic_std')}, {r('case when stddev_samp(rank_ic) > 0 then avg(rank_ic) / stddev_samp(rank_ic) * sqrt(252) end', 'ic_ir')},
           {r('avg((rank_ic > 0)::int)', 'ic_positive')}, {r('avg(high_low)', 'high_low')}, {r('avg((high_low > 0)::int)', 'high_low_positive')}, {r('avg(monotonicity)', 'monotonicity')}, {r('avg(top_mean)', 'top_mean')}, {r('sum(labels) / sum(predictions)', 'label_coverage')} from dq group by factor, year(date)"""),
+        "eval_yearly_audit": (lambda s, sf: tidy(yearly_audit(wide(s, sf), FACTORS)), audit_sql()),
         "eval_factor_correlation": (lambda s, sf: tidy(M.rank_correlation(wide(s, sf), FACTORS)), CORR_SQL),
         "eval_robustness": (lambda s, sf: M.robustness(long(s, sf)), None),
         "eval_scores": (lambda s, sf: M.scores(wide(s, sf), sizes), None),

@@ -101,6 +101,9 @@ w as (select date, code, adj_factor, {', '.join(f'case when {c} is not null then
 select date, code, {r('adj_factor')}, {', '.join(r(c) for c in [*_p, 'volume', 'amount'])},
   {', '.join(r(f'coalesce(case when stddev_samp({c}) over (partition by date) > 1e-12 then ({c} - avg({c}) over (partition by date)) / stddev_samp({c}) over (partition by date) end, 0)', f'z_{c}') for c in ('open', 'high', 'low', 'close', 'volume', 'vwap'))} from w"""
 
+REPORT_SQL = f"""{CLEAN_SQL[:CLEAN_SQL.index('w as (select date, code, adj_factor')]}e as (select *, {', '.join(f'quantile_cont({c}, 0.001) over (partition by date) as lo_{c}, quantile_cont({c}, 0.999) over (partition by date) as hi_{c}' for c in [*_p, 'volume', 'amount'])} from k)
+unpivot (select (select count(*) from raw) as input_rows, 0::bigint as invalid_keys, (select count(*) from raw) - (select count(*) from t) as duplicates, (select count(*) from a) - (select count(*) from k) as bad_rows, (select count(*) from k) as output_rows,
+  {', '.join(f'count(*) filter (where {c} < lo_{c} or {c} > hi_{c}) as clipped_{c}' for c in [*_p, 'volume', 'amount'])} from e) on columns(*) into name item value n"""
 _GRID = "grid as (select unnest([565] || range(571, 691) || range(781, 901))::bigint as minute)"
 _TICKS = panels.ticks_sql(True)
 AUDIT_SQL = f"""with {_TICKS}, {_GRID}, seen as (select distinct date, hour(datetime) * 60 + minute(datetime) as minute from ticks),
@@ -222,6 +225,7 @@ def all_checks() -> dict:
     attributed_days = f"{attributed}, {NAV_SQL}, {_R}, t as (select date, sum(case when factor in ('x', 'y') then c else 0 end) style, sum(case when factor = 'z' then c else 0 end) industry, any_value(r - b) realised from u join rr using (date) where c is not null group by date)"
     return {
         "clean_daily": (lambda s, sf: tidy(C.clean_daily(raw(s, sf), ("version",))), CLEAN_SQL),
+        "clean_report": (lambda s, sf: C.cleaning_report(raw(s, sf), ("version",)), REPORT_SQL),
         "clean_minutes": (lambda s, sf: tidy(C.clean_minutes(hourly(s, sf), "seq").select("date", "code", "datetime", "seq", "open", "high", "low", "close", "vol", "amount")), MINUTE_CLEAN_SQL),
         "clean_security_id": (lambda s, sf: s.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("k"), security_id(F.expr(nation_id)).alias("id")), id_sql),
         "clean_quality_report": (lambda s, sf: C.quality_report(panels.bars(s, sf, True)), f"with {panels.bars_sql(True)} unpivot (select count(*) - count(date) as date, count(*) - count(code) as code, count(*) - count(open) as open, count(*) - count(high) as high, count(*) - count(low) as low, count(*) - count(close) as close, count(*) - count(volume) as volume, count(*) - count(amount) as amount, count(*) - count(vwap) as vwap from bars) on columns(*) into name \"column\" value missing"),

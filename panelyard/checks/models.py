@@ -33,9 +33,9 @@ def search(s, sf):
     return s.createDataFrame([(r["factor"], r["expression"], r["tokens"], r["complexity"], r["depth"], float(r["reward"])) for r in rows], "factor string, expression string, tokens string, complexity long, depth long, reward double")
 
 
-def pool_matrix(s, sf):
+def pool_matrix(s, sf, start=None, end=None):
     rows = [{"factor": k, "tokens": t.to_json()} for k, t in POOL.items()]
-    return tidy(policy.execute_pool(panels.bars(s, sf), rows))
+    return tidy(policy.execute_pool(panels.bars(s, sf), rows, start=start, end=end))
 
 
 def pool_sql() -> str:
@@ -61,6 +61,11 @@ def fused(kind: str):
     return lambda s, sf: fusion.walk_forward(wide(s, sf), FACTORS, 40, 5, 30, kind)
 
 
+def fused_quality(s, sf):
+    matrix = wide(s, sf)
+    return tidy(fusion.quality(fusion.walk_forward(matrix, FACTORS, 40, 5, 30, "linear"), matrix))
+
+
 def fusion_inputs(s, sf):
     return tidy(fusion.prepared(wide(s, sf), FACTORS))
 
@@ -87,6 +92,7 @@ APPEND_SQL = STREAM_SQL.replace(" from ticks group by", " from ticks where date
 def all_checks() -> dict:
     return {
         "search_grammar": (grammar, None), "search_pool": (search, None), "search_pool_matrix": (pool_matrix, pool_sql()), "fusion_inputs": (fusion_inputs, inputs_sql()),
-        "fusion_trees": (fused("trees"), None), "fusion_linear": (fused("linear"), None), "fusion_huber": (fused("huber"), None),
+        "fusion_trees": (fused("trees"), None), "fusion_linear": (fused("linear"), None), "fusion_huber": (fused("huber"), None), "fusion_listwise": (fused("listwise"), None), "fusion_quality": (fused_quality, None),
+        "search_pool_slice": (lambda s, sf: pool_matrix(s, sf, "1996-01-01", "1996-12-31"), f"select * from ({pool_sql()}) where date between date '1996-01-01' and date '1996-12-31'"),
         "stream_daily_bars": (lambda s, sf: tidy(stream_bars(panels.ticks(s, sf)).withColumn("start", F.date_format("start", "yyyy-MM-dd"))), STREAM_SQL), "stream_append": (streamed, APPEND_SQL),
     }

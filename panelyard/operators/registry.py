@@ -44,5 +44,9 @@ MASKS = (
 )
 REDUCERS = _ops("r_mean r_std r_sum r_max r_min r_median r_first r_last r_skew r_kurt r_slope r_rsquare r_argmax", "daily", "source") | _ops("r_corr r_cov r_wmean", "daily", "minute", "minute")
 
+#: How often a generator draws each group of the daily layer, and how often it ends a position there.
+DRAWS = {"daily": ((UNARY, 2), (BINARY, 3), (TIME_SERIES, 4), (CROSS_SECTION, 2)), "minute": ((UNARY, 2), (BINARY, 2), (TIME_SERIES, 4), (CROSS_SECTION, 2))}
+LEAVES = {"daily": 0.28, "minute": 0.42}
+
 DAILY_OPS = UNARY | BINARY | TIME_SERIES | CROSS_SECTION
 INTRADAY_OPS = MINUTE | MASKS | REDUCERS

@@ -143,11 +143,17 @@ class State:
         return parse(list(self.tokens), self.language)
 
 
-def random_tree(seed: int, language: Language = DAILY, leaf: float = 0.28) -> Node:
-    """A tree drawn by the grammar; with probability ``leaf`` a position takes a token that closes it."""
+def random_tree(seed: int, language: Language = DAILY, leaf: float | None = None) -> Node:
+    """A tree drawn by the grammar; with probability ``leaf`` a position takes a token that ends it (a reducer ends the daily layer of a
+    minute tree), else a group of operators by its weight, then one of the group."""
     rng, state = random.Random(seed), State(language)
+    leaf = R.LEAVES[language.name] if leaf is None else leaf
+    weight = {op: w / len(group) for group, w in R.DRAWS[language.name] for op in group}
+    ends = {*language.features, *(R.REDUCERS if language.name == "minute" else ())}
     while not state.terminal:
-        actions = state.actions()
-        closing = [a for a in actions if a in language.features]
-        state = state.step(rng.choice(closing if closing and rng.random() < leaf else actions))
+        sides = {True: [], False: []}
+        for token in state.actions():
+            sides[token in ends].append(token)
+        among = sides[bool(sides[True]) and (not sides[False] or rng.random() < leaf)]
+        state = state.step(rng.choices(among, [weight.get(a, 1.0) for a in among])[0])
     return state.tree()

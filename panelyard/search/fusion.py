@@ -1,20 +1,21 @@
 """Walk-forward fusion of factors into one prediction with Spark's own learners.
 
-Gradient-boosted trees, a linear model with squared or Huber loss. Boosted ranking with a listwise loss has no counterpart here;
-``relevance`` bins and weights on the upper quantile are what it shares with regression.
+Gradient-boosted trees, a linear model with squared or Huber loss, and a linear ranker with a listwise loss over each date's relevance bins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.evaluation.metrics import buckets
+from panelyard.evaluation.metrics import buckets, daily_quality
 from panelyard.session import stored
 
 
@@ -57,6 +58,64 @@ def learner(kind: str, seed: int = 7):
     return LinearRegression(loss="huber" if kind == "huber" else "squaredError", maxIter=50, regParam=1e-3, **shared)
 
 
+def listwise(train: DataFrame, factors: Sequence[str], ridge: float = 1e-2, steps: int = 25) -> np.ndarray:
+    """Weights w that minimise the cross entropy, per date, of softmax(x w) against softmax(relevance), both weighted by sample_weight.
+
+    The loss is convex: damped Newton steps. Rows of a date (a cross-section, bounded by the number of codes) are packed once into a
+    table; a step is one pass over it without a shuffle, from which only sums (loss, gradient, Hessian) reach the driver.
+    """
+    k = len(factors)
+    row = F.struct(F.array(*factors).alias("x"), F.col("relevance").cast("double").alias("y"), F.col("sample_weight").alias("s"))
+    packed = stored(train.where("relevance is not null").groupBy("date").agg(F.collect_list(row).alias("rows")).select("rows"), "lists")
+
+    def sums(w: np.ndarray, ridge: float = ridge) -> tuple[float, np.ndarray, np.ndarray]:
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 + k + k * k)
+            for batch in batches:
+                for rows in batch.column(0):
+                    flat = rows.values
+                    x = flat.field("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+                    y, s = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("y", "s"))
+                    score = x @ w
+                    top = score.max()
+                    e, q = s * np.exp(score - top), s * np.exp(y - y.max())
+                    p, q = e / e.sum(), q / q.sum()
+                    mean = p @ x
+                    total[0] += 1
+                    total[1] += top + np.log(e.sum()) - q @ score
+                    total[2 : 2 + k] += mean - q @ x
+                    total[2 + k :] += ((x * p[:, None]).T @ x - np.outer(mean, mean)).ravel()
+            yield pa.RecordBatch.from_pydict({"total": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        # Each partition sends one short row, whatever it holds.
+        got = np.sum([r.total for r in packed.mapInArrow(parts, "total array<double>").collect()] or [np.zeros(2 + k + k * k)], axis=0)
+        n = max(got[0], 1.0)
+        return got[1] / n + ridge / 2 * w @ w, got[2 : 2 + k] / n + ridge * w, got[2 + k :].reshape(k, k) / n + ridge * np.eye(k)
+
+    w = np.zeros(k)
+    loss, slope, curve = sums(w)
+    for _ in range(steps):
+        move = np.linalg.solve(curve, slope)
+        if slope @ move < 1e-12:
+            break
+        size = 1.0
+        while size > 1e-6:
+            next_ = sums(w - size * move)
+            if next_[0] <= loss - 1e-4 * size * (slope @ move):
+                break
+            size /= 2
+        else:
+            break
+        w, (loss, slope, curve) = w - size * move, next_
+    return w
+
+
+def quality(predictions: DataFrame, matrix: DataFrame, top_n: int = 10, q: int = 5) -> DataFrame:
+    """A row per date of ``walk_forward``: predictions, labels, rank_ic, top_mean, high_low, monotonicity against the targets of ``matrix``."""
+    joined = predictions.join(matrix.select("date", "code", "target"), ["date", "code"], "left")
+    return daily_quality(joined.select(F.lit("score").alias("factor"), "date", "code", F.col("score").alias("value"), "target"), top_n, q).drop("factor")
+
+
 def walk_forward(matrix: DataFrame, factors: Sequence[str], train: int, horizon: int, refit: int, kind: str = "trees") -> DataFrame:
     """date, code, score, rank on dates out of sample; targets of the predicted dates aren't read."""
     # Every window of the walk reads the prepared matrix, twice, so it is made once.
@@ -64,8 +123,13 @@ def walk_forward(matrix: DataFrame, factors: Sequence[str], train: int, horizon:
     dates = [r.date for r in data.select("date").distinct().orderBy("date").collect()]  # the calendar
     out = None
     for step in windows(dates, train, horizon, refit):
-        model = learner(kind).fit(data.where(F.col("date").between(step.first, step.last) & F.col("target").isNotNull()))
-        part = model.transform(data.where(F.col("date").between(step.start, step.end))).select("date", "code", F.col("prediction").alias("score"))
+        past = data.where(F.col("date").between(step.first, step.last) & F.col("target").isNotNull())
+        ahead = data.where(F.col("date").between(step.start, step.end))
+        if kind == "listwise":
+            score = sum((F.col(f) * float(x) for f, x in zip(factors, listwise(past, factors))), F.lit(0.0))
+            part = ahead.select("date", "code", score.alias("score"))
+        else:
+            part = learner(kind).fit(past).transform(ahead).select("date", "code", F.col("prediction").alias("score"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("the calendar is shorter than one training window")

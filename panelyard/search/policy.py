@@ -12,12 +12,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from panelyard.evaluation import metrics
 from panelyard.plans.compile import daily_factors, minute_factors
 from panelyard.plans.nodes import DAILY, MINUTE, Language, Node, State, parse
 from panelyard.session import stored
+from panelyard.sources import store
+from panelyard.sources.cleaning import between, sliced
 
 
 @dataclass
@@ -120,7 +122,18 @@ def pool(policy: Policy, score: Callable, size: int, min_coverage: float = 0.5,
     return [{"factor": f"factor_{i + 1:03d}", "expression": t, "tokens": trees[t].to_json(), "complexity": trees[t].complexity(), "depth": trees[t].depth()} | {k: v for k, v in scored[t].items() if k != "factor"} for i, t in enumerate(good)]
 
 
-def execute_pool(panel: DataFrame, rows: Sequence[dict], language: Language = DAILY) -> DataFrame:
-    """The factor matrix of a saved pool: date, code and a column per factor, in one plan."""
+def execute_pool(panel: DataFrame, rows: Sequence[dict], language: Language = DAILY, start=None, end=None) -> DataFrame:
+    """The factor matrix of a saved pool: date, code and a column per factor, in one plan.
+
+    Factors are computed over the whole panel, so that windows reach back before ``start``; then the dates in [start, end] are kept.
+    """
     trees = {r["factor"]: parse(r["tokens"], language) for r in rows}
-    return minute_factors(panel, trees) if language is MINUTE else daily_factors(panel, trees)
+    return between(minute_factors(panel, trees) if language is MINUTE else daily_factors(panel, trees), start, end)
+
+
+def execute_stored(spark: SparkSession, pool_path: str, panel_path: str, language: Language = DAILY, start=None, end=None) -> DataFrame:
+    """``execute_pool`` of a pool and a panel (bars for minute trees) that lie in files; no dates in [start, end] raises."""
+    rows = [r.asDict() for r in store.read(spark, pool_path).select("factor", "tokens").collect()]  # a row per factor
+    panel = store.read(spark, panel_path)
+    sliced(panel.select("date"), start, end)
+    return execute_pool(panel, rows, language, start, end)

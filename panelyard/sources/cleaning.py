@@ -74,13 +74,53 @@ def clean_daily(df: DataFrame, order: Sequence[Column | str], limits: tuple[floa
     Prices are filled forward within a code, never backward; volume and amount are clipped at 0; prices are adjusted; bad rows go;
     columns are clipped to same-day quantiles and scored. Windows by code come first, then those by date: two exchanges.
     """
+    return _clean(last_of_key(_keyed(df, order, mapping).where(KEYED), ("date", "code"), ("_order",)).drop("_order"), limits)
+
+
+KEYED = "date is not null and code is not null and code <> ''"
+#: Of adjusted rows; those where it is NULL stay.
+BAD = "low > high or open <= 0 or high <= 0 or low <= 0 or close <= 0"
+
+
+def _keyed(df: DataFrame, order: Sequence[Column | str], mapping: Mapping[str, str] | None) -> DataFrame:
     found = column_mapping(df, mapping)
-    marked = df.select(*[F.col(f"`{s}`").alias(c) for c, s in found.items()], F.struct(*order).alias("_order"))
-    keyed = typed(marked).where("date is not null and code is not null and code <> ''")
-    return _clean(last_of_key(keyed, ("date", "code"), ("_order",)).drop("_order"), limits)
+    return typed(df.select(*[F.col(f"`{s}`").alias(c) for c, s in found.items()], F.struct(*order).alias("_order")))
+
+
+def cleaning_report(df: DataFrame, order: Sequence[Column | str], limits: tuple[float, float] = (0.001, 0.999), mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """item, n: what ``clean_daily`` does to ``df``: input_rows, invalid_keys, duplicates, bad_rows, output_rows, and clipped_<column> for
+    each column that is clipped to quantiles of its date."""
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(False)).cast("long")), F.lit(0).cast("long"))
+    keyed = _keyed(df, order, mapping)
+    good = F.coalesce(F.expr(KEYED), F.lit(False))
+    keys = keyed.groupBy("date", "code", good.alias("good")).agg(F.count(F.lit(1)).alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    before = keys.agg(total(F.col("n")).alias("input_rows"), total(F.when(~F.col("good"), F.col("n"))).alias("invalid_keys"), total(F.when(F.col("good"), F.col("n") - 1)).alias("duplicates"))
+    adjusted = _adjusted(last_of_key(keyed.where(KEYED), ("date", "code"), ("_order",)).drop("_order"))
+    bad = F.coalesce(F.expr(BAD), F.lit(False))
+    columns = _clipped_columns(adjusted)
+    # Bad rows form a partition of their own, so that quantiles are those of the rows that stay.
+    day = Window.partitionBy("date", "_bad")
+    edges = adjusted.withColumn("_bad", bad).withColumns({f"_{c}": (F.col(c) < F.percentile(c, F.lit(limits[0])).over(day)) | (F.col(c) > F.percentile(c, F.lit(limits[1])).over(day)) for c in columns})
+    after = edges.agg(n(F.col("_bad")).alias("bad_rows"), n(~F.col("_bad")).alias("output_rows"), *[n(~F.col("_bad") & F.col(f"_{c}")).alias(f"clipped_{c}") for c in columns])
+    return before.unpivot([], before.columns, "item", "n").unionByName(after.unpivot([], after.columns, "item", "n"))
 
 
 def _clean(data: DataFrame, limits: tuple[float, float]) -> DataFrame:
+    data = _adjusted(data).where(~F.coalesce(F.expr(BAD), F.lit(False)))
+    day = Window.partitionBy("date")
+    clipped = _clipped_columns(data)
+    edges = data.withColumns({f"{c}_{i}": F.percentile(c, F.lit(q)).over(day) for c in clipped for i, q in enumerate(limits)})
+    data = edges.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, f"{c}_0"), f"{c}_1")) for c in clipped}).drop(*[f"{c}_{i}" for c in clipped for i in (0, 1)])
+    score = lambda c: F.coalesce(F.when(F.stddev_samp(c).over(day) > 1e-12, (F.col(c) - F.avg(c).over(day)) / F.stddev_samp(c).over(day)), F.lit(0.0))
+    return data.withColumns({f"z_{c}": score(c) for c in ("open", "high", "low", "close", "volume", "vwap")})
+
+
+def _clipped_columns(data: DataFrame) -> list[str]:
+    return [*PRICES, *[c for c in ("volume", "amount") if c in data.columns]]
+
+
+def _adjusted(data: DataFrame) -> DataFrame:
     if "vwap" not in data.columns:
         data = data.withColumn("vwap", F.col("amount") / F.nullif("volume", F.lit(0.0)) if "amount" in data.columns else (F.col("high") + F.col("low") + F.col("close")) / 3)
     so_far = Window.partitionBy("code").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -89,14 +129,7 @@ def _clean(data: DataFrame, limits: tuple[float, float]) -> DataFrame:
     data = data.withColumns({c: fill(F.col(c)) for c in PRICES} | {c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in flows} | ({"adj_factor": F.coalesce(fill(F.when(F.col("adj_factor") > 0, F.col("adj_factor"))), F.lit(1.0))} if "adj_factor" in data.columns else {}))
     if "adj_factor" in data.columns:
         data = data.withColumns({c: F.col(c) * F.col("adj_factor") for c in PRICES} | {"volume": F.col("volume") / F.col("adj_factor")})
-    bad = (F.col("low") > F.col("high")) | (F.col("open") <= 0) | (F.col("high") <= 0) | (F.col("low") <= 0) | (F.col("close") <= 0)
-    data = data.where(~F.coalesce(bad, F.lit(False)))
-    day = Window.partitionBy("date")
-    clipped = [*PRICES, *flows]
-    edges = data.withColumns({f"{c}_{i}": F.percentile(c, F.lit(q)).over(day) for c in clipped for i, q in enumerate(limits)})
-    data = edges.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(c, f"{c}_0"), f"{c}_1")) for c in clipped}).drop(*[f"{c}_{i}" for c in clipped for i in (0, 1)])
-    score = lambda c: F.coalesce(F.when(F.stddev_samp(c).over(day) > 1e-12, (F.col(c) - F.avg(c).over(day)) / F.stddev_samp(c).over(day)), F.lit(0.0))
-    return data.withColumns({f"z_{c}": score(c) for c in ("open", "high", "low", "close", "volume", "vwap")})
+    return data
 
 
 def liquid_universe(df: DataFrame, n: int, start=None, end=None) -> DataFrame:
@@ -112,6 +145,14 @@ def between(df: DataFrame, start=None, end=None, column: str = "date") -> DataFr
     return df.where(F.col(column) <= F.lit(end)) if end is not None else df
 
 
+def sliced(df: DataFrame, start=None, end=None, column: str = "date") -> DataFrame:
+    """``between``; raises if no row is left."""
+    rows = between(df, start, end, column)
+    if rows.isEmpty():
+        raise ValueError(f"no rows in [{start}, {end}]")
+    return rows
+
+
 def require_coverage(df: DataFrame, start, end, days: int = 7, column: str = "date") -> DataFrame:
     """One row: first, last, and whether they lie within ``days`` of [start, end]."""
     edges = df.agg(F.min(column).alias("first"), F.max(column).alias("last"))

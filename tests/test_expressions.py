@@ -35,6 +35,14 @@ def test_tokens_trees_and_text_round_trip():
     assert str(parse("cs_rank ts_mean W5 close")) == "cs_rank(ts_mean(close,5))"
 
 
+def test_random_trees_follow_the_weights():
+    for language, expected in ((DAILY, (2, 3, 4, 2)), (MINUTE, (2, 2, 4, 2))):
+        roots = [random_tree(s, language).name for s in range(6000)]
+        counts = [sum(n in group for n in roots) for group, _ in R.DRAWS[language.name]]
+        assert 1 - sum(counts) / len(roots) == pytest.approx(R.LEAVES[language.name], abs=0.03)
+        assert [c / sum(counts) for c in counts] == pytest.approx([e / sum(expected) for e in expected], abs=0.03)
+
+
 @pytest.mark.parametrize("bad", ["", "close close", "ts_mean close", "ts_mean W7 close", "add close", "nothing", "r_mean close"])
 def test_the_grammar_rejects(bad):
     with pytest.raises(ValueError):

@@ -198,6 +198,56 @@ def test_predictions_are_out_of_sample(spark):
     assert out.agg(F.min("date")).first()[0] == day(18) and out.agg(F.corr("score", "target")).first()[0] > 0.9
 
 
+def test_listwise_weights_minimise_the_cross_entropy(spark):
+    rng = np.random.default_rng(4)
+    rows = [(day(d), c, float(a), float(b), float(a - 0.5 * b + 0.3 * rng.normal())) for d in range(12) for c, (a, b) in enumerate(rng.normal(size=(25, 2)))]
+    data = fusion.prepared(spark.createDataFrame(rows, "date date, code int, a double, b double, target double"), ["a", "b"])
+    w = fusion.listwise(data, ["a", "b"], ridge=0.01)
+
+    def loss(v):
+        total = 0.0
+        dates = {}
+        for r in data.collect():
+            dates.setdefault(r.date, []).append(r)
+        for group in dates.values():
+            e = [r.sample_weight * np.exp(r.a * v[0] + r.b * v[1]) for r in group]
+            q = [r.sample_weight * np.exp(float(r.relevance)) for r in group]
+            total -= sum(b / sum(q) * np.log(a / r.sample_weight / sum(e)) for a, b, r in zip(e, q, group))
+        return total / len(dates) + 0.005 * float(np.dot(v, v))
+
+    best = loss(w)
+    assert w[0] > 0 > w[1] and all(loss(w + step) > best for step in np.array([[1e-2, 0], [-1e-2, 0], [0, 1e-2], [0, -1e-2]]))
+    assert (fusion.listwise(data.limit(0), ["a", "b"]) == 0).all()
+
+
+def test_listwise_ranks_are_out_of_sample_and_measured(spark):
+    rng = np.random.default_rng(1)
+    rows = [(day(d), c, float(x), float(2 * x + 0.1 * rng.normal())) for d in range(30) for c, x in enumerate(rng.normal(size=30))]
+    matrix = spark.createDataFrame(rows, "date date, code int, f double, target double")
+    days = fusion.quality(fusion.walk_forward(matrix, ["f"], 15, 3, 20, "listwise"), matrix).orderBy("date").collect()
+    assert days[0].date == day(18) and len(days) == 12 and all(d.rank_ic > 0.9 and d.predictions == d.labels == 30 for d in days)
+
+
+def test_a_stored_pool_looks_back_before_its_slice(spark, tmp_path):
+    rows = [(day(d), c, *[float(10 + d + c)] * 4, 1.0, float(10 + d + c)) for d in range(12) for c in (1, 2)]
+    panel = spark.createDataFrame(rows, "date date, code int, open double, high double, low double, close double, volume double, vwap double")
+    panel.write.parquet(f"{tmp_path}/panel")
+    spark.createDataFrame([("x", parse("ts_mean W5 close").to_json())], "factor string, tokens string").write.parquet(f"{tmp_path}/pool")
+    out = policy.execute_stored(spark, f"{tmp_path}/pool", f"{tmp_path}/panel", start=day(9), end=day(10)).where("code = 1").orderBy("date").collect()
+    assert [(r.date, r.x) for r in out] == [(day(9), 18.0), (day(10), 19.0)]
+    with pytest.raises(ValueError):
+        policy.execute_stored(spark, f"{tmp_path}/pool", f"{tmp_path}/panel", start=day(20))
+
+
+def test_cleaning_report_counts_rows_of_every_kind(spark):
+    rows = [("2020-01-01", str(c), 10.0 + c, 10.0 + c, 10.0 + c, 10.0 + c, 1.0, 0) for c in range(5)]
+    rows += [("2020-01-01", "0", 10.0, 10.0, 10.0, 10.0, 1.0, 1), ("2020-01-01", "9", -1.0, 5.0, 1.0, 2.0, 1.0, 0), ("2020-01-01", " ", 1.0, 1.0, 1.0, 1.0, 1.0, 0), (None, "7", 1.0, 1.0, 1.0, 1.0, 1.0, 0)]
+    frame = spark.createDataFrame(rows, "date string, code string, open double, high double, low double, close double, volume double, line int")
+    got = {r.item: r.n for r in C.cleaning_report(frame, ("line",), (0.1, 0.9)).collect()}
+    assert got == {"input_rows": 9, "invalid_keys": 2, "duplicates": 1, "bad_rows": 1, "output_rows": 5, "clipped_open": 2, "clipped_high": 2, "clipped_low": 2, "clipped_close": 2, "clipped_vwap": 2, "clipped_volume": 0}
+    assert sum(r.n for r in C.cleaning_report(frame.limit(0), ("line",)).collect()) == 0
+
+
 def test_policy_learns_to_prefer_rewarded_trees_and_round_trips():
     # Trees of two levels: six that are rewarded and 462 that hardly are, so balance gives the six a share of 6 / 10.62.
     small = Language("daily", DAILY.features, DAILY.feature_symbols, DAILY.ops, max_depth=2)
