@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.evaluation.metrics import buckets, daily_quality
-from panelyard.session import stored
+from panelyard.session import discard, shared_path, stored
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,9 @@ def listwise(train: DataFrame, factors: Sequence[str], ridge: float = 1e-2, step
     """
     k = len(factors)
     row = F.struct(F.array(*factors).alias("x"), F.col("relevance").cast("double").alias("y"), F.col("sample_weight").alias("s"))
-    packed = stored(train.where("relevance is not null").groupBy("date").agg(F.collect_list(row).alias("rows")).select("rows"), "lists")
+    spark, path = train.sparkSession, shared_path(train.sparkSession, "lists")
+    train.where("relevance is not null").groupBy("date").agg(F.collect_list(row).alias("rows")).select("rows").write.parquet(path)
+    packed = spark.read.parquet(path)
 
     def sums(w: np.ndarray, ridge: float = ridge) -> tuple[float, np.ndarray, np.ndarray]:
         def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +109,7 @@ def listwise(train: DataFrame, factors: Sequence[str], ridge: float = 1e-2, step
         else:
             break
         w, (loss, slope, curve) = w - size * move, next_
+    discard(spark, path)
     return w
 
 
